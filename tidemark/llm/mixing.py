@@ -51,7 +51,7 @@ def segments(knots: Knots) -> list[tuple[float, ...]]:
     out, done = [], 0.0
     for ((t0, a), (t1, b)), area in zip(zip(knots, knots[1:]), areas):
         if area:
-            out.append((done / sum(areas), (done + area) / sum(areas), t0, t1 - t0, a, b))
+            out.append(tuple(map(float, (done / sum(areas), (done + area) / sum(areas), t0, t1 - t0, a, b))))
         done += area
     return out
 
