@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, pii, quality, url_filter
+from . import exact_dedup, hmm, language, mixing, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op3_quality, op4_pii, op6_mixing, op7_exact_dedup, op8_url_filter)}
+    return {f.__name__: f for f in (op1_language, op3_quality, op4_pii, op6_mixing, op7_exact_dedup, op8_url_filter, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:
