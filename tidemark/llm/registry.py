@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hmm, language, mixing, pii, quality, url_filter
+from . import exact_dedup, hmm, language, mixing, near_dedup, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op3_quality, op4_pii, op6_mixing, op7_exact_dedup, op8_url_filter, op10_hmm)}
+    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_quality, op4_pii, op6_mixing, op7_exact_dedup, op8_url_filter, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:
