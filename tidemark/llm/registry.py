@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hmm, language, mixing, near_dedup, pii, quality, url_filter
+from . import decontaminate, exact_dedup, hmm, language, mixing, near_dedup, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.lm_scores(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_quality, op4_pii, op6_mixing, op7_exact_dedup, op8_url_filter, op10_hmm)}
+    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_quality, op4_pii, op6_mixing, op7_exact_dedup, op8_url_filter, op9_decontaminate, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:
