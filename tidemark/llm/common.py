@@ -52,3 +52,20 @@ def arrow_pass(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterato
 def row_base() -> int:
     """First row identity of the running task. Identities are stable only once written, so they never outlive one pass unwritten."""
     return TaskContext.get().partitionId() << 40
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Of a key column and n (each key once) the most frequent, at most most of them.
+
+    A histogram of log counts gives the cut, so neither tasks nor the driver hold more than the bins and the result.
+    Keys whose counts fall into the bin that would pass the bound are all left out, whatever their order.
+    """
+    place = F.floor(F.log2("n") * 64).cast("int")
+    bins = sorted(((r["bin"], r["keys"]) for r in counts.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("keys")).collect()), reverse=True)
+    cut, held = None, 0
+    for at, keys in bins:
+        held += keys
+        if held > most:
+            break
+        cut = at
+    return counts.where(place >= cut) if cut is not None else counts.where(F.lit(False))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, fold, materialize
+from .common import arrow_pass, fold, frequent, materialize
 
 WORDS = 100_000
 GRAMS = 60_000
@@ -66,7 +66,7 @@ def _count_grams(batches):
 
 def _most(counts: DataFrame, key: str, most: int) -> list:
     """lang, key, n of the most frequent keys: at most most times the number of languages."""
-    top = counts.groupBy(key).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), key).limit(most).select(key)
+    top = frequent(counts.groupBy(key).agg(F.sum("n").alias("n")), most).select(key)
     return counts.join(top, key).collect()
 
 
