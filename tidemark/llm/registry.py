@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, hmm, language, mixing, near_dedup, pii, quality, url_filter
+from . import chat_tree, decontaminate, exact_dedup, hmm, language, mixing, near_dedup, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    nodes, turns = chat_tree.prefix_tree(_table(spark, sf_dir, "conversations").select(*added.columns).unionByName(added))
+    return chat_tree.read_back(nodes, turns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -48,8 +55,8 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_quality, op4_pii, op6_mixing, op7_exact_dedup, op8_url_filter, op9_decontaminate, op10_hmm)}
+    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_quality, op4_pii, op5_chat_tree, op6_mixing, op7_exact_dedup, op8_url_filter, op9_decontaminate, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filter": url_filter.SQL}
+    return {"op5_chat_tree": chat_tree.SQL, "op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filter": url_filter.SQL}
