@@ -2,10 +2,530 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .functions import geodesy
+from .functions.grid import half_even, wrap
+from .operators import catalog_ops as ops
+from .operators import points as pts
+from .operators import raster as ras
+from .plans import crs
+from .plans.catalog import GEOID_FRAMES
+from .plans.datums import DEFINITIONS, compile_steps, is_height, pipeline_text
+from .plans.transform import output_sigma, plan
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str = "", name: str = ""):
+    def put(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+# Points -------------------------------------------------------------------------------------------------------------
+
+def _sql_shift(source: str, target: str) -> tuple[str, str, str]:
+    """CTEs that end in best (pid, ord, region, n_regionkey, zz) of covered points; z before and the rounded z after the signs."""
+    steps = compile_steps(source, target)
+    layers = list(dict.fromkeys(s.grid for s in steps))
+    z_in = "z" if is_height(source) else "(-z)"
+    shift = z_in + "".join(f" {'+' if s.inverse else '-'} v_{s.grid}" for s in steps)
+    sign = "" if is_height(target) else "-"
+    ctes = f"""{fx.SQL_POINTS}, {fx.SQL_REGIONS},
+cand as (select *, least(floor((y - y0) / 0.05::double), 9)::bigint as i, least(floor({fx.SQL_EAST} / 0.05::double), 9)::bigint as j,
+    (y - y0) / 0.05::double as fi, {fx.SQL_EAST} / 0.05::double as fj from pts join reg on {fx.SQL_INSIDE}),
+frac as (select *, fi - i as t, fj - j as u from cand),
+vals as (select *, {', '.join(f'{fx.sql_bilinear(x)} as v_{x}' for x in layers)} from frac),
+best as (select *, {shift} as zz, row_number() over (partition by pid order by ord desc) as rn from vals where {' and '.join(f'v_{x} is not null' for x in layers)}),
+pick as (select * from best where rn = 1)"""
+    return ctes, shift, f"round_even({sign}(zz) * 1000::double, 0) / 1000::double + 0::double"
+
+
+def _sql_points(source: str, target: str, columns: str = "p.pid, {z} as z, coalesce(b.ord, -1) as region_index", tail: str = "from pts p left join pick b on p.pid = b.pid") -> str:
+    ctes, _, z = _sql_shift(source, target)
+    return f"with {ctes} select {columns.format(z=z)} {tail}"
+
+
+def _points(source: str, target: str, **options) -> Query:
+    return lambda spark, d: pts.transform_points(fx.points(spark, d), fx.catalog(spark, d), source, target, **options).select("pid", "z", "region_index")
+
+
+for _s, _t, _n in [
+    ("ellipse", "mllw", "points_ellipse_to_mllw"), ("ellipse", "geoid", "points_ellipse_to_geoid"), ("ellipse", "tss", "points_ellipse_to_tss"), ("ellipse", "mhw", "points_ellipse_to_mhw"),
+    ("ellipse", "mtl", "points_ellipse_to_mtl"), ("ellipse", "dtl", "points_ellipse_to_dtl"), ("mllw", "ellipse", "points_mllw_to_ellipse"), ("mllw", "mhw", "points_mllw_to_mhw"),
+    ("navd88", "mllw", "points_navd88_to_mllw"), ("tss", "NOAA Chart Datum", "points_tss_to_chart_datum"), ("noaa chart height", "geoid", "points_chart_height_to_geoid"),
+]:
+    _query(_sql_points(_s, _t), _n)(_points(_s, _t))
+
+_query("select event_id as pid, round_even(value * 1000::double, 0) / 1000::double + 0::double as z, 0 as region_index from events", "points_identity")(_points("geoid", "geoid"))
+_query("select event_id as pid, round_even(-(-value) * 1000::double, 0) / 1000::double + 0::double as z, 0 as region_index from events", "points_synonym")(_points("mllw", "noaa chart datum"))
+
+
+@_query(_sql_points("ellipse", "mllw", "coalesce(b.ord, -1) as region_index, count(*) as n", "from pts p left join pick b on p.pid = b.pid group by 1"))
+def points_region_index(spark, d):
+    found = pts.transform_points(fx.points(spark, d), fx.catalog(spark, d), "ellipse", "mllw")
+    return found.groupBy("region_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(_sql_points("ellipse", "mllw", "p.pid", "from pts p left join pick b on p.pid = b.pid where b.pid is null"))
+def points_uncovered(spark, d):
+    return pts.transform_points(fx.points(spark, d), fx.catalog(spark, d), "ellipse", "mllw").where("region_index = -1").select("pid")
+
+
+@_query(_sql_points("ellipse", "mllw", "count(*) as n, count(b.pid) as covered, count(distinct b.ord) as regions, min({z}) as z_min, max({z}) as z_max"))
+def points_summary(spark, d):
+    found = pts.transform_points(fx.points(spark, d), fx.catalog(spark, d), "ellipse", "mllw")
+    covered = F.col("region_index") >= 0
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(covered).alias("covered"), F.count_distinct(F.when(covered, F.col("region_index"))).alias("regions"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+
+
+@_query(
+    _sql_points("ellipse", "mllw", "p.pid, true as same", "from pts p join pick b on p.pid = b.pid"),
+)
+def points_roundtrip(spark, d):
+    """There and back in the region that served the way there: within a millimetre of where it began."""
+    cat = fx.catalog(spark, d)
+    there = pts.transform_points(fx.points(spark, d).withColumn("z0", F.col("z")), cat, "ellipse", "mllw").where("region_index >= 0").drop("region_index", "region")
+    back = pts.transform_points(there, cat, "mllw", "ellipse")
+    return back.select("pid", (F.abs(F.col("z") - F.col("z0")) <= 0.0011).alias("same"))
+
+
+_UNC = "((0::double + 0.05::double) + ((ord * 3 + 2) % 11 + 1) * 0.01::double) + ((ord * 3 + 4) % 11 + 1) * 0.01::double"
+
+
+@_query(_sql_points("ellipse", "mllw", f"p.pid, case when b.pid is not null then {_UNC} end as unc"))
+def points_unc_mllw(spark, d):
+    return pts.transform_points(fx.points(spark, d), fx.catalog(spark, d), "ellipse", "mllw", uncertainty=True).select("pid", "unc")
+
+
+def _sql_matrix() -> str:
+    rows = []
+    for s in DEFINITIONS:
+        for t in (t for t in DEFINITIONS if t not in ("lwrp2007", "hrd")):
+            layer = {"noaa chart datum": "mllw", "noaa chart height": "mhw"}.get(t, t)
+            x = "0::double"
+            if s == "ellipse" and t != "ellipse":
+                x += " + 0.05::double"
+            if s in ("ellipse", "geoid", "navd88") and t not in ("ellipse", "geoid", "navd88"):
+                x += " + ((n_nationkey * 3 + 2) % 11 + 1) * 0.01::double"
+            if t not in ("ellipse", "geoid", "tss", "navd88"):
+                x += f" + ((n_nationkey * 3 + {2 * fx.LAYERS.index(layer)}) % 11 + 1) * 0.01::double"
+            rows.append(f"select '{s}' as source, '{t}' as target, 'r' || n_nationkey as region, {x} as unc from nation")
+    return " union all ".join(rows)
+
+
+@_query(_sql_matrix())
+def points_unc_matrix(spark, d):
+    cat = fx.catalog(spark, d)
+    rows = [(s, t, r.name, output_sigma(cat, s, t, r.name)) for s in DEFINITIONS for t in DEFINITIONS if t not in ("lwrp2007", "hrd") for r in cat.regions]
+    return spark.createDataFrame(rows, "source string, target string, region string, unc double")
+
+
+_SAMPLE = 0.02
+
+
+def _sql_sampled() -> str:
+    """The lattice of the supplied points, -76 to -74.001 by 35 to 36.999 at the most, spelled out from the data's extents."""
+    ctes, _, z = _sql_shift("ellipse", "geoid")
+    inner = ctes.replace(fx.SQL_POINTS + ",", "")
+    return f"""with ev as (select event_id as pid, -76::double + ((user_id * 7 + event_id) % 2000) / 1e3 as x, 35::double + ((event_id * 13) % 2000) / 1e3 as y, value as z from events),
+ext as (select min(x) - 0.02::double as xa, max(x) + 0.02::double as xb, min(y) - 0.02::double as ya, max(y) + 0.02::double as yb from ev),
+num as (select *, ceil((xb - xa) / 0.02::double)::bigint as nx, ceil((yb - ya) / 0.02::double)::bigint as ny from ext),
+stp as (select *, (xa + 1 * (xb - xa) / (nx - 1)) - xa as sx, (ya + 1 * (yb - ya) / (ny - 1)) - ya as sy from num),
+pts as (select (b * 100000 + a)::bigint as pid, xa + a * sx + 0.01::double as x, ya + b * sy + 0.01::double as y, 0::double as z
+  from stp, unnest(range(nx - 1)) as r(a), unnest(range(ny - 1)) as q(b)),
+{inner},
+sep as (select pid, {z} as sep, ord from pick),
+k as (select ev.*, xa, ya, sx, sy, nx, ny, floor((x - xa) / sx)::bigint as kx, floor((y - ya) / sy)::bigint as ky from ev, stp),
+b as (select pid, z, least(case when xa + (kx + 1) * sx <= x then kx + 1 when xa + kx * sx > x then kx - 1 else kx end, nx - 1) as bx,
+  least(case when ya + (ky + 1) * sy <= y then ky + 1 when ya + ky * sy > y then ky - 1 else ky end, ny - 1) as by from k)
+select b.pid, sep.sep + b.z as z, coalesce(sep.ord, -1) as region_index from b left join sep on sep.pid = b.by * 100000 + b.bx"""
+
+
+@_query(_sql_sampled())
+def points_sampled(spark, d):
+    return pts.transform_sampled(fx.points(spark, d), fx.catalog(spark, d), "ellipse", "geoid", _SAMPLE).select("pid", "z", "region_index")
+
+
+@_query(f"with {fx.SQL_POINTS} select min(x) as x_min, min(y) as y_min, max(x) as x_max, max(y) as y_max from pts")
+def extents(spark, d):
+    return pts.extents(fx.points(spark, d), nan_safe=False)
+
+
+@_query(f"with {fx.SQL_POINTS} select min(x) as x_min, min(y) as y_min, max(x) as x_max, max(y) as y_max from pts where pid % 3 <> 0")
+def extents_nansafe(spark, d):
+    lost = F.when(F.col("pid") % 3 == 0, float("nan"))
+    return pts.extents(fx.points(spark, d).withColumn("x", F.coalesce(lost, "x")))
+
+
+# Rasters ------------------------------------------------------------------------------------------------------------
+
+_SQL_SEP = f"""{fx.SQL_CELLS}, {fx.SQL_REGIONS},
+cand as (select *, floor((y - y0) / 0.05::double + 0.5::double)::bigint as i, floor({fx.SQL_EAST} / 0.05::double + 0.5::double)::bigint as j from cells join reg on {fx.SQL_INSIDE}),
+seps as (select row, col, elev, unc, contributor, ord, region, 0::double - {fx.sql_node('geoid', 'i', 'j')} + {fx.sql_node('tss', 'i', 'j')} - {fx.sql_node('mllw', 'i', 'j')} as sep from cand),
+cnt as (select ord, region, count(*) as n from seps where sep is not null group by 1, 2),
+stk as (select seps.*, row_number() over (partition by row, col order by n desc, seps.ord desc) as rn from seps join cnt on seps.ord = cnt.ord where sep is not null),
+one as (select c.*, s.sep, s.ord as region_index from cells c left join stk s on c.row = s.row and c.col = s.col and s.rn = 1)"""
+
+
+def _plan(spark, d):
+    return plan(fx.catalog(spark, d), "ellipse", "mllw")
+
+
+@_query(f"with {_SQL_SEP} select row, col, region, sep from seps")
+def raster_sep_nearest(spark, d):
+    cells = ras.masked(fx.cells(spark, d), fx.raster())
+    return ras.region_separations(cells, _plan(spark, d), fx.raster()).where("region is not null").select("row", "col", "region", "sep")
+
+
+@_query(f"with {_SQL_SEP} select region, n from cnt")
+def raster_valid_counts(spark, d):
+    return ras.valid_counts(ras.masked(fx.cells(spark, d), fx.raster()), _plan(spark, d), fx.raster()).select("region", "n")
+
+
+@_query(f"with {_SQL_SEP} select row, col, sep, coalesce(region_index, -1) as region_index from one")
+def raster_stack_largest(spark, d):
+    return ras.stacked(ras.masked(fx.cells(spark, d), fx.raster()), _plan(spark, d), fx.raster()).select("row", "col", "sep", "region_index")
+
+
+@_query(f"with {_SQL_SEP} select bool_and(sep is not null) as covered, count(*) filter (sep is null) as missing from one")
+def raster_is_covered(spark, d):
+    return ras.is_covered(ras.stacked(ras.masked(fx.cells(spark, d), fx.raster()), _plan(spark, d), fx.raster()))
+
+
+def _sql_apply(source: str, target: str, allow: bool, own_unc: bool = True) -> str:
+    """source and target are the ellipsoid and mllw, or the other way round, where signs of steps and directions turn."""
+    there = source == "ellipse"
+    if not there:
+        sep_sql = _SQL_SEP.replace("0::double - " + fx.sql_node("geoid", "i", "j") + " + " + fx.sql_node("tss", "i", "j") + " - " + fx.sql_node("mllw", "i", "j"), "0::double + " + fx.sql_node("mllw", "i", "j") + " - " + fx.sql_node("tss", "i", "j") + " + " + fx.sql_node("geoid", "i", "j"))
+    else:
+        sep_sql = _SQL_SEP
+    inside = "-1::double * (elev + sep)" if there else "-1::double * (elev - sep)"
+    sigma = _UNC.replace("ord", "region_index") if there else "0::double"
+    h = "elev" if there else "-elev"
+    far = f"case when {h} > 0 then 3::double else 3::double - 0.06::double * ({h}) end"
+    unc = "unc" if own_unc else "null::double"
+    put = lambda a, b, nodata: f"coalesce(case when elev is not null and sep is not null then {a} when elev is not null and {allow} then {b} end, {nodata}::double)"
+    return f"""with {sep_sql} select row, col, {put(inside, '-1::double * elev', -9999)} as elev, {put(f'coalesce({unc}, 0) + ({sigma})', f'greatest({far}, {unc})', -9999)} as unc,
+  {put('contributor', 'contributor', -1)} as contributor, coalesce(region_index, -1) as region_index from one"""
+
+
+def _apply(source: str, target: str, allow: bool, own_unc: bool = True) -> Query:
+    return lambda spark, d: ras.transform_raster(fx.cells(spark, d, own_unc), fx.catalog(spark, d), source, target, fx.raster(), allow_outside=allow)
+
+
+_query(_sql_apply("ellipse", "mllw", False), "raster_apply_up_down")(_apply("ellipse", "mllw", False))
+_query(_sql_apply("mllw", "ellipse", False), "raster_apply_down_up")(_apply("mllw", "ellipse", False))
+_query(_sql_apply("ellipse", "mllw", True), "raster_outside_allowed")(_apply("ellipse", "mllw", True))
+_query(_sql_apply("ellipse", "mllw", False), "raster_outside_nodata")(_apply("ellipse", "mllw", False))
+_query(_sql_apply("ellipse", "mllw", True, False), "raster_unc_missing_band")(_apply("ellipse", "mllw", True, False))
+
+
+@_query(f"""with {fx.SQL_CELLS} select row, col, coalesce(1::double * (elev + 0::double), -9999::double) as elev,
+  case when elev is null then -9999::double else unc + 0::double end as unc, case when elev is null then -1::double else contributor end as contributor, 0 as region_index from cells""")
+def raster_apply_same(spark, d):
+    return ras.transform_raster(fx.cells(spark, d), fx.catalog(spark, d), "navd88", "geoid", fx.raster())
+
+
+@_query("select * from (values ('Elevation,Uncertainty,Contributor', 0, 1, 2), ('contributor,DEPTH,Elevation', 1, -1, 0), ('x', 0, -1, -1), ('Vertical Uncertainty,depth', 1, 0, -1)) as t(names, elevation, uncertainty, contributor)")
+def band_roles(spark, d):
+    names = ["Elevation,Uncertainty,Contributor", "contributor,DEPTH,Elevation", "x", "Vertical Uncertainty,depth"]
+    found = [(n, ras.band_roles(n.split(","))) for n in names]
+    return spark.createDataFrame([(n, *(r.get(k, -1) for k in ("elevation", "uncertainty", "contributor"))) for n, r in found], "names string, elevation int, uncertainty int, contributor int")
+
+
+# Catalogue ----------------------------------------------------------------------------------------------------------
+
+_BOX = (-75.3, 35.3, -74.9, 35.9)
+
+
+def _polygons(spark, d):
+    n = F.col("n_nationkey")
+    x0, y0 = F.lit(-76.05) + (n % 5) * F.lit(0.4), F.lit(34.95) + F.floor(n / 5) * F.lit(0.4)
+    name = F.when(n % 4 == 3, "other").otherwise("valid-transform-area")
+    return fx.table(spark, d, "nation").select(F.concat(F.lit("r"), n).alias("region"), n.alias("feature"), name.alias("name"), ops.box_ring(x0, y0, x0 + 0.5, y0 + 0.5).alias("ring"))
+
+
+_SQL_MEET = "x0 <= -74.9::double and x0 + 0.5::double >= -75.3::double and y0 <= 35.9::double and y0 + 0.5::double >= 35.3::double"
+
+
+@_query(f"with {fx.SQL_REGIONS} select region from reg where ord % 4 <> 3 and {_SQL_MEET}")
+def regions_by_bbox(spark, d):
+    return ops.regions_by_box(_polygons(spark, d), _BOX)
+
+
+@_query(f"with {fx.SQL_REGIONS} select region, case when ord % 4 <> 3 then 'named' else 'fallback' end as source from reg where {_SQL_MEET}")
+def regions_external_fallback(spark, d):
+    polygons = _polygons(spark, d)
+    return ops.regions_with_fallback(polygons, polygons.where("feature % 4 = 3"), _BOX)
+
+
+def _release_geoids(spark, d):
+    geoid = F.get(F.array(*map(F.lit, fx.GEOIDS)), F.col("n_regionkey"))
+    return fx.table(spark, d, "nation").where("n_nationkey % 3 <> 0").select(F.concat(F.lit("r"), "n_nationkey").alias("region"), geoid.alias("geoid"))
+
+
+def _external(spark, d):
+    s = fx.table(spark, d, "supplier").where("s_nationkey % 2 = 0").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return s.select(F.concat(F.lit("r"), "s_nationkey").alias("region"), F.lit("core\\geoid12b\\g2012bu0.gtx").alias("reference_geoid"), F.lit("NAD83(2011)").alias("reference_frame"), "n")
+
+
+def _regions(spark, d):
+    return fx.table(spark, d, "nation").select(F.concat(F.lit("r"), "n_nationkey").alias("region"))
+
+
+_SQL_GEOID = "case n_regionkey " + " ".join(f"when {i} then '{g}'" for i, g in enumerate(fx.GEOIDS)) + " end"
+_SQL_EXT = "n_nationkey in (select s_nationkey from supplier where s_nationkey % 2 = 0)"
+
+
+@_query(f"select 'r' || n_nationkey as region, case when n_nationkey % 3 <> 0 then {_SQL_GEOID} when {_SQL_EXT} then 'core\\geoid12b\\g2012bu0.gtx' end as geoid from nation")
+def geoid_lookup(spark, d):
+    return ops.geoid_lookup(_regions(spark, d), _release_geoids(spark, d), _external(spark, d))
+
+
+_SQL_FRAME = "case n_regionkey " + " ".join(f"when {i} then '{GEOID_FRAMES[g]}'" for i, g in enumerate(fx.GEOIDS)) + " end"
+
+
+@_query(f"select 'r' || n_nationkey as region, case when n_nationkey % 3 <> 0 then {_SQL_FRAME} when {_SQL_EXT} then 'NAD83(2011)' end as frame from nation")
+def frame_lookup(spark, d):
+    return ops.frame_lookup(_regions(spark, d), _release_geoids(spark, d), ops.geoid_frames(spark), _external(spark, d))
+
+
+def _sigma_lines(spark, d):
+    n, p = F.col("n_nationkey"), F.col("n_regionkey")
+    kinds = F.explode(F.array(F.lit(".navd88.lmsl="), F.lit(".lmsl.mllw="), F.lit(".lmsl.mhw="), F.lit(".mllw.mhw="), F.lit("=")))
+    lines = fx.table(spark, d, "nation").select(n, p, kinds.alias("kind")).select(F.concat(F.lit("r"), n, F.lit("x"), "kind", F.when(n % 6 == 5, "n/a").otherwise(F.concat(F.lit(" "), p + 1, F.lit(".5 ")))).alias("line"))
+    more = ["conus.navd88.nad83=5.0", "conus.xgeoid17b.itrf2008=3.0", "conus.other.thing=2.0", "# text", "a.b=c=d"]
+    return lines.unionByName(lines.sparkSession.createDataFrame([(x,) for x in more], "line string"))
+
+
+_SQL_SIGMA = """sig as (select 'r' || n_nationkey || 'x' as region, layer, (case when n_nationkey % 6 = 5 then 0::double else (n_regionkey + 1)::double + 0.5::double end) * 0.01::double as sigma_m
+  from nation, (values ('tss'), ('mllw'), ('mhw')) as l(layer))"""
+
+
+@_query(f"with {_SQL_SIGMA} select * from sig union all values ('conus', 'geoid12b', 5 * 0.01::double), ('conus', 'xgeoid17b', 3 * 0.01::double)")
+def sigma_parse(spark, d):
+    return ops.parse_sigma(_sigma_lines(spark, d))
+
+
+def _folders(spark, d):
+    return fx.table(spark, d, "nation").select(F.concat(F.lit("R"), "n_nationkey", F.lit("x"), F.lit("inner01")).alias("region"))
+
+
+_SQL_MATCH = f"""with {_SQL_SIGMA}, f as (select 'R' || n_nationkey || 'xinner01' as region from nation),
+m as (select sig.region as entry, f.region, layer, sigma_m from sig join f on starts_with(lower(f.region), sig.region))"""
+
+
+@_query(f"{_SQL_MATCH} select entry, region, layer, sigma_m from m")
+def sigma_prefix_match(spark, d):
+    return ops.sole_sigma(ops.sigma_by_region(ops.parse_sigma(_sigma_lines(spark, d)), _folders(spark, d)))
+
+
+@_query("""select 'r' || n_nationkey as entry, count(distinct 'R' || o.k || 'inner') as matches from nation join (select n_nationkey as k from nation) o on starts_with('r' || o.k || 'inner', 'r' || n_nationkey) group by 1 having count(*) > 1""")
+def sigma_ambiguous(spark, d):
+    lines = fx.table(spark, d, "nation").select(F.concat(F.lit("r"), "n_nationkey", F.lit(".lmsl.mllw=1")).alias("line"))
+    folders = fx.table(spark, d, "nation").select(F.concat(F.lit("R"), "n_nationkey", F.lit("inner")).alias("region"))
+    return ops.sigma_by_region(ops.parse_sigma(lines), folders).where("matches > 1").select("entry", "matches").distinct()
+
+
+def _wanted(spark, d):
+    layer = F.explode(F.array(*map(F.lit, fx.LAYERS[1:4])))
+    return fx.table(spark, d, "nation").select(F.concat(F.lit("r"), "n_nationkey").alias("region"), layer.alias("layer")).withColumn("grid", F.concat("region", F.lit("\\"), "layer", F.lit(".gtx")))
+
+
+def _files(spark, d):
+    n, k = F.col("n_nationkey"), F.array_position(F.array(*map(F.lit, fx.LAYERS)), F.col("layer")).cast("int") - 1
+    rows = fx.table(spark, d, "nation").select(n, F.explode(F.array(*map(F.lit, fx.LAYERS[1:4]))).alias("layer"))
+    ext = F.get(F.array(F.lit(".gtx"), F.lit(".tif"), F.lit(".tiff"), F.lit(".asc")), ((n + k) % 4).cast("int"))
+    return rows.select(F.concat(F.lit("r"), n, F.lit("/"), "layer", ext).alias("file"), F.md5(F.concat(F.lit("r"), n, "layer").cast("binary")).alias("md5"))
+
+
+_SQL_FILES = """files as (select n_nationkey as n, layer, k, ['.gtx', '.tif', '.tiff', '.asc'][(n_nationkey + k) % 4 + 1] as ext, md5('r' || n_nationkey || layer) as md5
+  from nation, (values ('tss', 1), ('mllw', 2), ('mhw', 3)) as l(layer, k))"""
+
+
+@_query(f"with {_SQL_FILES} select 'r' || n || '\\' || layer || '.gtx' as grid, case when ext <> '.asc' then 'r' || n || '/' || layer || ext end as found from files")
+def grid_extension_repair(spark, d):
+    return ops.repair_extensions(_wanted(spark, d), _files(spark, d))
+
+
+@_query(f"with {_SQL_FILES} select 'r' || n as region, bool_and(ext <> '.asc') as valid from files group by 1")
+def grid_exists(spark, d):
+    return ops.grid_exists(_wanted(spark, d), _files(spark, d))
+
+
+def _releases(spark, d):
+    files = _files(spark, d)
+    n = F.regexp_extract("file", r"^r(\d+)/", 1).cast("int")
+    as_release = lambda name, rows, md5=F.col("md5"): rows.select(F.lit(name).alias("release"), "file", md5.alias("md5"))
+    return as_release("a", files.where(n % 5 != 0)).unionByName(as_release("b", files)).unionByName(as_release("c", files, F.when(n % 7 == 0, F.md5(F.col("file").cast("binary"))).otherwise(F.col("md5"))))
+
+
+@_query("select 'b' as release")
+def release_match(spark, d):
+    return ops.release_match(_files(spark, d), _releases(spark, d))
+
+
+@_query(f"""with {_SQL_FILES} select 'r' || n || '/' || layer || ext as file, case when n % 5 = 0 then 'added' else 'changed' end as change from files where n % 5 = 0 or n % 7 = 0""")
+def release_diff(spark, d):
+    return ops.release_diff(_releases(spark, d), "a", "c")
+
+
+_SQL_OVER = "select 'r' || n_nationkey as region, 'base' as origin from nation where not " + _SQL_EXT
+
+
+@_query(_SQL_OVER + " union all select distinct 'r' || s_nationkey, 'external' from supplier where s_nationkey % 2 = 0")
+def external_override(spark, d):
+    return ops.override(_regions(spark, d).withColumn("origin", F.lit("base")), _external(spark, d).select("region", F.lit("external").alias("origin")))
+
+
+@_query(_SQL_OVER)
+def external_remove(spark, d):
+    return ops.removed(_regions(spark, d).withColumn("origin", F.lit("base")), _external(spark, d))
+
+
+# Texts --------------------------------------------------------------------------------------------------------------
+
+def _sql_pipelines() -> str:
+    names, rows = list(DEFINITIONS), []
+    for s in names:
+        for t in names:
+            text = pipeline_text(s, t, "@R@", "@G@")
+            sql = "null::varchar" if text is None else "'" + text.replace("@R@", "' || region || '").replace("@G@", "' || geoid || '") + "'"
+            rows.append(f"select '{s}' as source, '{t}' as target, region, {sql} as pipeline from r")
+    return f"with r as (select 'r' || n_nationkey as region, {_SQL_GEOID} as geoid from nation) " + " union all ".join(rows)
+
+
+@_query(_sql_pipelines())
+def pipeline_strings(spark, d):
+    """Compiled on the driver per pair of datums with placeholders, filled in per region."""
+    pairs = [(s, t, pipeline_text(s, t, "@R@", "@G@")) for s in DEFINITIONS for t in DEFINITIONS]
+    geoid = F.get(F.array(*map(F.lit, fx.GEOIDS)), F.col("n_regionkey"))
+    regions = fx.table(spark, d, "nation").select(F.concat(F.lit("r"), "n_nationkey").alias("region"), geoid.alias("geoid"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.lit(p).cast("string").alias("p")) for s, t, p in pairs])).alias("pair")
+    filled = F.replace(F.replace(F.col("pair.p"), F.lit("@R@"), F.col("region")), F.lit("@G@"), F.col("geoid"))
+    return regions.select("region", "geoid", each).select("pair.source", "pair.target", "region", filled.alias("pipeline"))
+
+
+_DATUMS = "[" + ", ".join(f"'{x}'" for x in DEFINITIONS) + "]"
+
+
+@_query(f"""with t as (select p_partkey, p_name || ' ' || ({_DATUMS} || ['Mean', 'water'])[(p_partkey % 14 + 1)::int] as text from part),
+g as (select p_partkey, text, list_filter({_DATUMS}, x -> contains(lower(text), x)) as found from t)
+select p_partkey, len(found) as n, case when len(found) = 1 then found[1] when len(found) = 0 then '' end as datum from g""")
+def datum_guess(spark, d):
+    """Per row; the driver's guess_datum() fails where n is over 1."""
+    names = F.array(*map(F.lit, DEFINITIONS))
+    text = F.concat("p_name", F.lit(" "), F.get(F.concat(names, F.array(F.lit("Mean"), F.lit("water"))), (F.col("p_partkey") % 14).cast("int")))
+    found = F.filter(names, lambda x: F.contains(F.lower(text), x))
+    return fx.table(spark, d, "part").select("p_partkey", F.size(found).alias("n"), F.when(F.size(found) == 1, F.get(found, F.lit(0))).when(F.size(found) == 0, "").alias("datum"))
+
+
+@_query("""select 'r' || n_nationkey as region, 'rel' || n_regionkey as vdatum, 'v1' as version, 2 as regions, ['r' || n_nationkey, 's' || n_nationkey][2] as second, 'q ' || n_nationkey as pipeline, 'NAD83(2011)' as frame from nation""")
+def wkt_remark_parse(spark, d):
+    n = F.col("n_nationkey")
+    text = F.concat(F.lit('VERTCRS["x",REMARK["vdatum=rel'), "n_regionkey", F.lit(",vyperdatum=v1,base_datum=[NAD83(2011),ITRF2008],regions=[r"), n, F.lit(", s"), n, F.lit("],pipelines=[p;q "), n, F.lit(']"]]'))
+    rows = fx.table(spark, d, "nation").select(F.concat(F.lit("r"), n).alias("region"), crs.parse_remark(text).alias("m"))
+    return rows.select("region", "m.vdatum", "m.version", F.size("m.regions").alias("regions"), F.get("m.regions", F.lit(1)).alias("second"), F.get("m.pipelines", F.lit(1)).alias("pipeline"), F.get("m.base_datum", F.lit(0)).alias("frame"))
+
+
+def _sql_vertcrs() -> str:
+    axis = {"ellipsoid height": "ellipsoid height (h)\",up", "gravity-related height": "gravity-related height (H)\",up", "depth": "depth (D)\",down"}
+    from .plans.datums import default_axis
+
+    return " union all ".join(f"""select '{n}' as datum, 'VERTCRS["{n}",VDATUM["{n}"],CS[vertical,1],AXIS["{axis[default_axis(n)]}],LENGTHUNIT["metre",1],]' as wkt""" for n in DEFINITIONS)
+
+
+@_query(_sql_vertcrs())
+def wkt_vertcrs_build(spark, d):
+    return spark.createDataFrame([(n, crs.VerticalCrs(n).to_wkt()) for n in DEFINITIONS], "datum string, wkt string")
+
+
+@_query("select 'f' || r_regionkey as source, k as key, case k when 'frame' then 'NAD83(2011)' when 'layer' then r_name else '0.' || r_regionkey end as value from region, (values ('frame'), ('layer'), ('unc')) as t(k)")
+def ini_flatten(spark, d):
+    text = F.concat(F.lit("[a]\nFrame = NAD83(2011)\nunc: 9\n\n; note\n[b]\nlayer="), "r_name", F.lit("\nunc = 0."), "r_regionkey", F.lit("\n"))
+    return ops.flat_ini(fx.table(spark, d, "region").select(F.concat(F.lit("f"), "r_regionkey").alias("source"), text.alias("text")))
+
+
+@_query("select event_id as pid, cast(json_extract(props, '$.k') as bigint) as k from events")
+def json_response(spark, d):
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("pid"), F.from_json("props", "k long")["k"].alias("k"))
+
+
+# Numbers ------------------------------------------------------------------------------------------------------------
+
+@_query(f"with {fx.SQL_POINTS} select pid, fmod(x + 720::double, 360::double) as east, fmod(fmod(x + 180::double, 360::double) + 360::double, 360::double) - 180::double as west from pts")
+def lon_wrap(spark, d):
+    x = F.col("x")
+    return fx.points(spark, d).select("pid", wrap(x + 720.0).alias("east"), (wrap(F.pmod(x + 180.0, F.lit(360.0)) + 360.0) - 180.0).alias("west"))
+
+
+@_query(f"""with {fx.SQL_POINTS}, {fx.SQL_REGIONS}, c as (select pid, ord, trunc((x - x0) / 0.05::double)::bigint as j, trunc((y - y0) / 0.05::double)::bigint as i from pts, reg where ord = 12)
+select pid, case when i between 0 and 10 and j between 0 and 10 then {fx.sql_node('tss', 'i', 'j')} end as value from c""")
+def cell_lookup_truncate(spark, d):
+    """The node at the truncated index, of one grid; nothing beside it."""
+    x0, y0 = fx.corner(12)
+    i, j = ((F.col("y") - y0) / fx.SPACING).cast("bigint"), ((F.col("x") - x0) / fx.SPACING).cast("bigint")
+    rows = fx.grid_rows(spark, d).where("region = 'r12' and layer = 'tss'").select(F.col("row").cast("bigint").alias("i"), "vals")
+    found = fx.points(spark, d).withColumns({"i": i, "j": j}).join(F.broadcast(rows), "i", "left")
+    return found.select("pid", F.get("vals", F.col("j").cast("int")).alias("value"))
+
+
+def _projected(epsg: int) -> Query:
+    def run(spark, d):
+        east, north = geodesy.PROJECTIONS[epsg].forward(F.col("x"), F.col("y"))
+        return fx.points(spark, d).select("pid", half_even(east, 2).alias("east"), half_even(north, 2).alias("north"))
+
+    return run
+
+
+_QUERIES["utm_forward"] = _projected(26918)
+_QUERIES["lcc_forward"] = _projected(3631)
+_QUERIES["oblique_forward"] = lambda spark, d: fx.points(spark, d).select("pid", *[half_even(c, 2).alias(n) for c, n in zip(geodesy.PROJECTIONS[3468].forward(F.col("x") - 61.0, F.col("y") + 22.0), ("east", "north"))])
+
+
+def _sql_lcc() -> str:
+    import math
+
+    p = geodesy.PROJECTIONS[3631]
+    t = lambda x: geodesy._t(math.radians(x))
+    m = lambda x: math.cos(math.radians(x)) / math.sqrt(1 - geodesy.E2 * math.sin(math.radians(x)) ** 2)
+    n = (math.log(m(p.lat1)) - math.log(m(p.lat2))) / (math.log(t(p.lat1)) - math.log(t(p.lat2)))
+    f = m(p.lat1) / (n * t(p.lat1) ** n)
+    r0 = geodesy.A * f * t(p.lat0) ** n
+    return f"""with {fx.SQL_POINTS}, s as (select pid, radians(y) as phi, {n!r}::double * radians(x - (-79)::double) as theta, {geodesy.E1!r}::double * sin(radians(y)) as s from pts),
+r as (select pid, theta, {geodesy.A * f!r}::double * pow(tan({math.pi / 4!r}::double - phi / 2) / pow((1 - s) / (1 + s), {geodesy.E1 / 2!r}::double), {n!r}::double) as r from s)
+select pid, round_even(({p.east}::double + r * sin(theta)) * 100, 0) / 100 + 0::double as east, round_even(({p.north + r0!r}::double - r * cos(theta)) * 100, 0) / 100 + 0::double as north from r"""
+
+
+_SQL["lcc_forward"] = _sql_lcc()
+
+
+@_query()
+def helmert_shift(spark, d):
+    """ITRF2014 to NAD83(2011), and back to where it was."""
+    p = fx.points(spark, d)
+    xyz = geodesy.to_cartesian(F.col("x"), F.col("y"), F.col("z"))
+    moved = p.select("pid", "x", "y", "z", F.struct(*[c.alias(n) for c, n in zip(geodesy.frame_shift(*xyz, "ITRF2014", True), "abc")]).alias("m"))
+    there = geodesy.from_cartesian(F.col("m.a"), F.col("m.b"), F.col("m.c"))
+    back = geodesy.from_cartesian(*geodesy.frame_shift(F.col("m.a"), F.col("m.b"), F.col("m.c"), "ITRF2014", False))
+    return moved.select("pid", half_even(there[2], 2).alias("h"), (F.abs(back[2] - F.col("z")) < 0.001).alias("returns"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
