@@ -422,14 +422,14 @@ _DATUMS = "[" + ", ".join(f"'{x}'" for x in DEFINITIONS) + "]"
 
 
 @_query(f"""with t as (select p_partkey, p_name || ' ' || ({_DATUMS} || ['Mean', 'water'])[(p_partkey % 14 + 1)::int] as text from part),
-g as (select p_partkey, text, list_filter({_DATUMS}, x -> contains(lower(text), x)) as found from t)
+g as (select p_partkey, text, list_filter({_DATUMS}, lambda x: contains(lower(text), x)) as found from t)
 select p_partkey, len(found) as n, case when len(found) = 1 then found[1] when len(found) = 0 then '' end as datum from g""")
 def datum_guess(spark, d):
     """Per row; the driver's guess_datum() fails where n is over 1."""
     names = F.array(*map(F.lit, DEFINITIONS))
     text = F.concat("p_name", F.lit(" "), F.get(F.concat(names, F.array(F.lit("Mean"), F.lit("water"))), (F.col("p_partkey") % 14).cast("int")))
     found = F.filter(names, lambda x: F.contains(F.lower(text), x))
-    return fx.table(spark, d, "part").select("p_partkey", F.size(found).alias("n"), F.when(F.size(found) == 1, F.get(found, F.lit(0))).when(F.size(found) == 0, "").alias("datum"))
+    return fx.table(spark, d, "part").select("p_partkey", F.size(found).cast("long").alias("n"), F.when(F.size(found) == 1, F.get(found, F.lit(0))).when(F.size(found) == 0, "").alias("datum"))
 
 
 @_query("""select 'r' || n_nationkey as region, 'rel' || n_regionkey as vdatum, 'v1' as version, 2 as regions, ['r' || n_nationkey, 's' || n_nationkey][2] as second, 'q ' || n_nationkey as pipeline, 'NAD83(2011)' as frame from nation""")

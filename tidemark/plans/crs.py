@@ -115,7 +115,7 @@ class Remark:
 def parse_remark(wkt: Column) -> Column:
     """The same per row: struct<regions, pipelines, vdatum, version, base_datum>."""
     text = F.regexp_extract(wkt, 'REMARK\\["([^"]*)"', 1)
-    many = lambda key, sep: F.transform(F.split(F.regexp_extract(text, key + r"=\[(.*?)\](?:,|$)", 1), sep), F.trim)
+    many = lambda key, sep: F.transform(F.split(F.regexp_extract(text, key + r"=\[(.*?)\](?:,|$)", 1), sep), lambda x: F.trim(x))
     one = lambda key: F.regexp_extract(text, key + "=([^,]*),", 1)
     return F.struct(many("regions", ",").alias("regions"), many("pipelines", ";").alias("pipelines"), one("vdatum").alias("vdatum"), one("vyperdatum").alias("version"), many("base_datum", ",").alias("base_datum"))
 
