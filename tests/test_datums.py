@@ -88,7 +88,7 @@ def test_wkt_round_trips():
     assert Remark.parse(WKT) == Remark()
     with pytest.raises(ValueError):
         Remark.parse('REMARK["vdatum=x,pipelines=[p]"]')
-    text = derived_vertical("X", "NAD83(2011) Height", "a to b", "VDatum gtx grid transformation", [("src", "id", "core\\a.gtx", "what", "1/2/2012"), ("src", "id2", "b.gtx", "w", "d")])
+    text = derived_vertical("X", "NAD83(2011) Height", "a to b", "gtx grid transformation", [("src", "id", "core\\a.gtx", "what", "1/2/2012"), ("src", "id2", "b.gtx", "w", "d")])
     assert 'ID["EPSG",1084]' in text and 'ID["EPSG",6319]' in text
     assert wkt_parameter_files(text + "]")[0] == ("src", "id", "core\\a.gtx", "what", "1/2/2012")
     for bad in (dict(axis="x"), dict(axis="")):

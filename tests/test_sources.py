@@ -22,7 +22,7 @@ def grids(tmp_path):
             (tmp_path / region / f"{layer}.gtx").write_bytes(gtx.encode(lattice, v))
         (tmp_path / region / "a.kml").write_text("<kml><Placemark><name>valid-transform</name><coordinates>284,35,0 285,35 285,36 284,36 284,35</coordinates></Placemark><Placemark><name>x</name><coordinates>0,0 1,1 1,0 0,0</coordinates></Placemark></kml>")
         (tmp_path / region / f"{region}.config").write_text("[a]\nreference_frame = NAD83(2011)\n[b]\nreference_geoid: core\\geoid12b\\g2012bu0.gtx\nuncertainty_tss=0.0\n")
-    (tmp_path / files.SIGMA_FILE).write_text("# note\nnccoast.navd88.lmsl=4.5\nnccoast.lmsl.mllw=2\nncinner.lmsl.mllw=n/a\nconus.navd88.nad83=5.0\nbad=line=x\n")
+    (tmp_path / "grid_sigma.inf").write_text("# note\nnccoast.navd88.lmsl=4.5\nnccoast.lmsl.mllw=2\nncinner.lmsl.mllw=n/a\nconus.navd88.nad83=5.0\nbad=line=x\n")
     return str(tmp_path)
 
 

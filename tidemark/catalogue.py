@@ -435,7 +435,7 @@ def datum_guess(spark, d):
 @_query("""select 'r' || n_nationkey as region, 'rel' || n_regionkey as vdatum, 'v1' as version, 2 as regions, ['r' || n_nationkey, 's' || n_nationkey][2] as second, 'q ' || n_nationkey as pipeline, 'NAD83(2011)' as frame from nation""")
 def wkt_remark_parse(spark, d):
     n = F.col("n_nationkey")
-    text = F.concat(F.lit('VERTCRS["x",REMARK["vdatum=rel'), "n_regionkey", F.lit(",vyperdatum=v1,base_datum=[NAD83(2011),ITRF2008],regions=[r"), n, F.lit(", s"), n, F.lit("],pipelines=[p;q "), n, F.lit(']"]]'))
+    text = F.concat(F.lit('VERTCRS["x",REMARK["vdatum=rel'), "n_regionkey", F.lit(",library=v1,base_datum=[NAD83(2011),ITRF2008],regions=[r"), n, F.lit(", s"), n, F.lit("],pipelines=[p;q "), n, F.lit(']"]]'))
     rows = fx.table(spark, d, "nation").select(F.concat(F.lit("r"), n).alias("region"), crs.parse_remark(text).alias("m"))
     return rows.select("region", "m.vdatum", "m.version", F.size("m.regions").alias("regions"), F.get("m.regions", F.lit(1)).alias("second"), F.get("m.pipelines", F.lit(1)).alias("pipeline"), F.get("m.base_datum", F.lit(0)).alias("frame"))
 

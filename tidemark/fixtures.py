@@ -11,7 +11,7 @@ from .plans.catalog import GEOID_FRAMES, Catalog, Lattice, Region
 LAYERS = ["geoid", "tss", "mllw", "mhw", "mtl", "dtl"]
 NODES, SPACING = 11, 0.05
 GEOIDS = list(GEOID_FRAMES)[:2] + list(GEOID_FRAMES)[6:8] + list(GEOID_FRAMES)[14:15]
-RELEASE = "vdatum_4.1.2_20201203"
+RELEASE = "grids_20201203"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,9 @@ AXES = {
     'AXIS["depth (D)",down]': ["d", "depth", "depth (d)"],
 }
 METRES = ["m", "meter", "metre", "meters", "metres"]
-VERSION = "0.2.1"
+#: The library that made a remark; any word is read as the key.
+VERSION_KEY, VERSION = "library", "0.2.1"
+_VERSION = r"vdatum=[^,]*,\w+=([^,]*),"
 #: Horizontal systems that can be named by code, and the one vertical system.
 HORIZONTAL = {6318: "NAD83(2011)", 8999: "ITRF2008", 9000: "ITRF2014", **{26900 + z: f"NAD83 / UTM zone {z}N" for z in (8, 10, 14, 15, 18, 19)}}
 VERTICAL = {5866: ("mllw", "depth")}
@@ -94,7 +96,7 @@ class Remark:
 
     def text(self) -> str:
         base = f"[{','.join(self.base_datum)}]" if self.regions else "["
-        return f'REMARK["vdatum={self.vdatum or ""},vyperdatum={self.version or VERSION},base_datum={base},regions=[{",".join(self.regions)}],pipelines=[{";".join(self.pipelines)}]"]'
+        return f'REMARK["vdatum={self.vdatum or ""},{VERSION_KEY}={self.version or VERSION},base_datum={base},regions=[{",".join(self.regions)}],pipelines=[{";".join(self.pipelines)}]"]'
 
     @classmethod
     def parse(cls, wkt: str) -> Remark:
@@ -109,7 +111,7 @@ class Remark:
                 raise ValueError(f"no {key} in {text!r}")
             return tuple(x.strip() for x in m[1].split(sep)) if m else ()
 
-        return cls(many("regions", ",", True), many("pipelines", ";", True), one("vdatum"), one("vyperdatum"), many("base_datum", ",", False))
+        return cls(many("regions", ",", True), many("pipelines", ";", True), one("vdatum"), m[1] if (m := re.search(_VERSION, text)) else None, many("base_datum", ",", False))
 
 
 def parse_remark(wkt: Column) -> Column:
@@ -117,7 +119,7 @@ def parse_remark(wkt: Column) -> Column:
     text = F.regexp_extract(wkt, 'REMARK\\["([^"]*)"', 1)
     many = lambda key, sep: F.transform(F.split(F.regexp_extract(text, key + r"=\[(.*?)\](?:,|$)", 1), sep), lambda x: F.trim(x))
     one = lambda key: F.regexp_extract(text, key + "=([^,]*),", 1)
-    return F.struct(many("regions", ",").alias("regions"), many("pipelines", ";").alias("pipelines"), one("vdatum").alias("vdatum"), one("vyperdatum").alias("version"), many("base_datum", ",").alias("base_datum"))
+    return F.struct(many("regions", ",").alias("regions"), many("pipelines", ";").alias("pipelines"), one("vdatum").alias("vdatum"), F.regexp_extract(text, _VERSION, 1).alias("version"), many("base_datum", ",").alias("base_datum"))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from ..plans.catalog import SIGMA_LAYERS, Catalog, Lattice, Region
 from . import gtx
 
 GRIDS = "*.{gtx,tif,tiff}"
-SIGMA_FILE, RELEASE_FILE = "vdatum_sigma.inf", "vdatum_vyperversion.txt"
+SIGMA_FILES, RELEASE_FILES = "*sigma.inf", "*version.txt"
 _TAIL = r"([^/]+)/([^/]+)$"
 
 
@@ -38,7 +38,7 @@ def polygons(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def sigma(spark: SparkSession, directory: str) -> DataFrame:
-    return ops.parse_sigma(spark.read.text(f"{directory}/{SIGMA_FILE}").withColumnRenamed("value", "line"))
+    return ops.parse_sigma(spark.read.text(directory, pathGlobFilter=SIGMA_FILES).withColumnRenamed("value", "line"))
 
 
 def configurations(spark: SparkSession, directory: str) -> DataFrame:
@@ -56,7 +56,7 @@ def external_regions(spark: SparkSession, directory: str) -> DataFrame:
 
 def release(spark: SparkSession, directory: str, releases: DataFrame | None = None) -> str:
     """The release id on file, else the one release whose digests match; an error where none does."""
-    found = [r["value"].strip() for r in spark.read.text(directory, pathGlobFilter=RELEASE_FILE).limit(1).collect()]
+    found = [r["value"].strip() for r in spark.read.text(directory, pathGlobFilter=RELEASE_FILES).limit(1).collect()]
     if not found and releases is not None:
         found = [r["release"] for r in ops.release_match(grid_digests(spark, directory), releases).limit(2).collect()]
     if not found:
