@@ -158,7 +158,7 @@ def _signatures(weighted: bool):
                 [
                     pa.array(np.arange(rid, rid + len(texts))), ids, pa.array([hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts], pa.binary()),
                     pa.array([k if s else [] for k, s in zip(keys, some)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in short], pa.binary()),
-                    pa.array([small[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([np.unique(small[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 ],
                 names=["rid", "doc_id", "text_id", "bands", "signature", "shingles"],
             )
@@ -186,13 +186,15 @@ def _agreement(batches):
         yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep), pa.array(rate[rate >= MAYBE])], names=["a", "b", "rate"])
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Of sets of distinct shingles, by the exact quotient."""
+    both = len(np.intersect1d(x, y))
+    return both >= SIMILAR * (len(x) + len(y) - both) - 1e-9
+
+
 def _exact(batches):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = len(np.intersect1d(x, y))
-            keep.append(both >= SIMILAR * (len(np.union1d(x, y))) - 1e-9)
+        keep = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist())]
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
 
@@ -212,17 +214,33 @@ def _links(rated: DataFrame, table: DataFrame, weighted: bool) -> DataFrame:
     return rated.where(F.col("rate") >= SURE).select("a", "b").unionByName(arrow_pass(doubtful, _exact, "a long, b long"))
 
 
-def _between(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block pair that may be similar and are in different components."""
-    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    sig = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, COORDINATES)
-    block, comp, rid = (group[c].to_numpy() for c in ("block", "component", "rid"))
-    right, out = np.flatnonzero(block == j), []
-    for x in np.flatnonzero(block == i):
-        other = right[(comp[right] != comp[x]) & ((rid[right] > rid[x]) | (i != j))]
-        rate = (sig[other] == sig[x]).mean(1)
-        out += [(min(rid[x], rid[y]), max(rid[x], rid[y]), r) for y, r in zip(other[rate >= MAYBE], rate[rate >= MAYBE])]
-    return pd.DataFrame(out, columns=["a", "b", "rate"])
+def _between(weighted: bool):
+    """Links from a block of texts that ask to a block of texts, in other components; a pair counts in the first band it shares."""
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        band = int(group["band"].iloc[0])
+        sig = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, COORDINATES)
+        keys = np.stack(group["bands"].to_list())
+        asks, outside, comp, rid = (group[c].to_numpy() for c in ("asks", "outside", "component", "rid"))
+        sets = {}
+
+        def whole(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.frombuffer(group["shingles"].iloc[i], np.uint32)
+            return sets[i]
+
+        asked, out = np.flatnonzero(~asks), []
+        for x in np.flatnonzero(asks):
+            other = asked[(comp[asked] != comp[x]) & (~outside[asked] | (rid[asked] > rid[x]))]
+            rate = (sig[other] == sig[x]).mean(1)
+            other, rate = other[rate >= MAYBE], rate[rate >= MAYBE]
+            first = (keys[other] == keys[x]).argmax(1) == band
+            for y, r in zip(other[first], rate[first]):
+                if r >= SIMILAR if weighted else r >= SURE or similar(whole(x), whole(y)):
+                    out.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return links
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
@@ -236,25 +254,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = materialize(arrow_pass(own, _signatures(weighted), _TABLE), "signatures")
     texts = materialize(table.groupBy("text_id").agg(F.min_by("bands", "rid").alias("bands"), F.min("rid").alias("rid")), "texts")
-    keyed = texts.select("rid", F.explode("bands").alias("key"))
-    heads = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("head")).where("n > 1"), "buckets")
-    pairs = keyed.join(heads, "key").where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
+    keyed = texts.select("rid", F.posexplode("bands").alias("band", "key"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(keyed.join(counts, "key"), "shared")
+    # a bucket's first is the text that meets most others, in all its buckets: of near copies of one text that text itself
+    central = shared.groupBy("rid").agg(F.sum("n").alias("meets"))
+    heads = shared.join(central, "rid").groupBy("key").agg(F.max(F.struct("meets", (-F.col("rid")).alias("rid"))).alias("best"))
+    starred = materialize(shared.join(heads.select("key", (-F.col("best.rid")).alias("head")), "key"), "stars")
+    pairs = starred.where("rid <> head").select(F.least("head", "rid").alias("a"), F.greatest("head", "rid").alias("b")).distinct()
     rated = materialize(arrow_pass(_with(pairs, table, "signature", ("sig_a", "sig_b")), _agreement, "a long, b long, rate double"), "rated")
     links = materialize(_links(rated, table, weighted), "links")
     found = components(links)
 
     # buckets in which others than the first are still apart
-    others = keyed.join(heads.where("n > 2"), "key").where("rid <> head").select("key", "rid")
-    others = materialize(others.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("component")), "others")
-    apart = others.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = others.join(apart.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks").cast("long")).cast("int"))
-    # a member goes to its block's pairs with each block; pairs that two texts share in many buckets are found in each
-    dealt = member.select("key", "rid", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("key", "rid", "component", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    dealt = dealt.join(table.select("rid", "signature"), "rid")
-    more = dealt.groupBy("key", "i", "j").applyInPandas(_between, "a long, b long, rate double").distinct()
-    late = materialize(_links(materialize(more, "rated"), table, weighted), "links")
+    others = starred.where("n > 2 and rid <> head").select("key", "band", "rid")
+    others = materialize(others.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("key", "band", "rid", F.coalesce("component", "rid").alias("component")), "others")
+    each = others.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "component"))
+    apart = each.groupBy("key").agg(F.sum("n").alias("n"), most.alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    apart = apart.select("key", F.col("main.component").alias("main"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("main.n")).alias("few"))
+    member = others.join(apart, "key").withColumn("outside", F.col("component") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("rid"), F.col(n).cast("long")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["key", "band", "rid", "component", "outside"]
+    left = member.where("outside").select(*names, block("few").alias("i"), upto("all").alias("j"), F.lit(True).alias("asks"))
+    right = member.select(*names, upto("few").alias("i"), block("all").alias("j"), F.lit(False).alias("asks"))
+    dealt = left.unionByName(right).join(table.select("rid", "signature", "shingles", "bands"), "rid")
+    late = materialize(dealt.groupBy("key", "i", "j").applyInPandas(_between(weighted), "a long, b long").distinct(), "links")
     if late.limit(1).count():
         found = components(links.unionByName(late))
 
