@@ -37,3 +37,11 @@ def test_unseen_words_fall_back_to_the_longest_known_piece():
 def test_frequent_takes_whole_bins(spark):
     df = spark.createDataFrame([(str(i), n) for i, n in enumerate([100, 50, 50, 7, 7, 7, 1, 1])], "word string, n long")
     assert {r["n"] for r in frequent(df, 5).collect()} == {100, 50} and frequent(df, 8).count() == 8 and frequent(df, 0).count() == 0
+
+
+def test_words_and_pieces_beyond_the_held_ones_count(spark, monkeypatch):
+    df = spark.createDataFrame(corpus() + [(9001, None, "xx", "s"), (9002, "12", "yy", "s")], "doc_id long, text string, lang string, score string")
+    want = sorted((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in language.language_id(df).collect())
+    for most in (0, 40):
+        monkeypatch.setattr(language, "frequent", lambda counts, _: frequent(counts, most))  # noqa: B023
+        assert sorted((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in language.language_id(df).collect()) == want
