@@ -2,6 +2,10 @@ import random
 
 import corpus_pipeline
 from tidemark.llm import mixing
+from tidemark.llm.decontaminate import drop_leaks
+from tidemark.llm.exact_dedup import drop_copies
+from tidemark.llm.near_dedup import drop_near
+from tidemark.llm.quality import keep_good
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -51,3 +55,22 @@ def test_stages_are_in_order_and_keep_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_decide_by_row_where_ids_are_null_or_repeated(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices(["the", "an", "er", "st", "ou", "ti", "re", "ing"], k=rnd.randint(1, 3)))
+    text = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    kind = "doc_id long, text string"
+    a, b, c, leak = text(80), text(80), text(80), text(40)
+    for drop in (drop_copies, drop_near):
+        got = drop(spark.createDataFrame([(1, a), (1, a), (None, b), (None, b), (1, c)], kind))
+        assert sorted(r["text"] for r in got.collect()) == sorted([a, b, c])
+    held = lambda t: f"{t} {leak} {text(20)}"
+    got = drop_leaks(spark.createDataFrame([(None, a), (None, held(b)), (2, b), (2, held(c))], kind), spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(None, a), (2, b)}
+    docs = [(i, text(90)) for i in range(150)]
+    docs = [(i, " ".join(w.upper() + "!!" for w in t.split()) if i % 2 else t) for i, t in docs]
+    more = [(None, text(90)), (None, docs[1][1]), (900, text(90)), (900, docs[3][1])]
+    got = keep_good(spark.createDataFrame(docs + more, kind), spark.createDataFrame([(i, 1 - i % 2) for i, _ in docs], "doc_id long, quality int"))
+    assert {r["text"] for r in got.collect() if r["doc_id"] in (None, 900)} == {more[0][1], more[2][1]}

@@ -54,6 +54,11 @@ def row_base() -> int:
     return TaskContext.get().partitionId() << 40
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table with an identity _row of each row, so that decisions come back to rows and not to their ids."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def frequent(counts: DataFrame, most: int) -> DataFrame:
     """Of a key column and n (each key once) the most frequent, at most most of them.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialize, partitions, row_base
+from .common import arrow_pass, materialize, numbered, partitions, row_base
 
 BLOCK_BYTES = 512
 _GONE = b" \t\n\x0b\x0c\r"
@@ -39,7 +39,7 @@ def _cut(text: bytes, size: int) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)] or [b""]
 
 
-def _rows(digest: Callable[[bytes], bytes], size: int, by_content: bool):
+def _rows(digest: Callable[[bytes], bytes], size: int, by_content: bool, given: bool):
     """One row per document with the digest of each block, or its content where digests don't tell blocks apart."""
 
     def step(batches):
@@ -51,7 +51,7 @@ def _rows(digest: Callable[[bytes], bytes], size: int, by_content: bool):
                 blocks.append([b if by_content else digest(b) for b in _cut(text, size)])
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(rid, rid + n), pa.int64()), batch["doc_id"], batch["n_chars"], pa.array(sha, pa.string()), pa.array(blocks, pa.list_(pa.binary()))],
+                [batch["row"] if given else pa.array(range(rid, rid + n), pa.int64()), batch["doc_id"], batch["n_chars"], pa.array(sha, pa.string()), pa.array(blocks, pa.list_(pa.binary()))],
                 names=["rid", "doc_id", "n_chars", "text_sha256", "blocks"],
             )
             rid += n
@@ -89,19 +89,19 @@ def _named(distinct: DataFrame, keys: list[str], keep: list[str], name: str, tag
     return materialize(dealt.sortWithinPartitions(*keys).select(*keep, F.monotonically_increasing_id().alias(name)), tag)
 
 
-def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, digest: Callable[[bytes], bytes] = digest16) -> DataFrame:
+def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, digest: Callable[[bytes], bytes] = digest16, row: str | None = None) -> DataFrame:
     """rid, doc_id, n_chars, text_sha256, n_blocks, identity: texts are equal where (n_blocks, identity) is.
 
     A null text is an empty one, and an empty text has one empty block. rid numbers the rows of docs, so repeated rows
-    and repeated or null ids stay apart.
+    and repeated or null ids stay apart; row is a column that does so already.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), *([F.col(row).alias("row")] if row else []))
     names = _named(arrow_pass(source.select("text"), _contents(digest, block_bytes), "digest binary, block binary"), ["block"], ["digest"], "name", "blocks")
     shared = names.groupBy("digest").count().where("count > 1").limit(1).count() > 0
     if shared:
         content = arrow_pass(source.select("text"), _contents(lambda b: b, block_bytes), "digest binary, block binary")
         names = _named(content, ["block"], ["digest"], "name", "blocks")
-    rows = materialize(arrow_pass(source, _rows(digest, block_bytes, shared), _ROWS), "rows")
+    rows = materialize(arrow_pass(source, _rows(digest, block_bytes, shared, row is not None), _ROWS), "rows")
     found = rows.select("rid", F.posexplode("blocks").alias("place", "digest")).join(names, "digest").select("rid", F.col("place").cast("long").alias("place"), "name")
     most = rows.agg(F.max(F.size("blocks"))).first()[0] or 1
     done = None
@@ -125,6 +125,15 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     return head.join(done.withColumnRenamed("name", "identity"), "rid")
 
 
+def _decided(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES, digest: Callable[[bytes], bytes] = digest16, row: str | None = None) -> DataFrame:
+    named = materialize(identities(docs, doc_id, text, block_bytes, digest, row), "identities")
+    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
+    groups = named.groupBy("n_blocks", "identity").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return named.join(groups, ["n_blocks", "identity"]).select(
+        "rid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256"
+    )
+
+
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, digest: Callable[[bytes], bytes] = digest16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs.
 
@@ -132,18 +141,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     most code points stays, then the smallest doc_id, null last, then any one of rows that are repeated whole.
     An empty table gives an empty result; other columns of docs are not read.
     """
-    named = materialize(identities(docs, doc_id, text, block_bytes, digest), "identities")
-    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
-    groups = named.groupBy("n_blocks", "identity").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["n_blocks", "identity"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256"
-    )
+    return _decided(docs, doc_id, text, block_bytes, digest).drop("rid")
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, all their columns. Rows that share a doc_id stand or fall together; give ids that are unique."""
-    stays = exact_dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs[doc_id].cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    """The rows of docs that stay, all their columns: one row of equal texts, whatever ids rows have."""
+    own = numbered(docs, "documents")
+    stays = _decided(own, doc_id, text, row="_row").where("kept").select(F.col("rid").alias("_row"))
+    return own.join(stays, "_row", "left_semi").drop("_row")
 
 
 SQL = r"""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialize, row_base
+from .common import arrow_pass, materialize, numbered, row_base
 from .components import components
 
 SHINGLE = 5
@@ -143,11 +143,11 @@ def bands(signature: np.ndarray) -> np.ndarray:
 _TABLE = "rid long, doc_id long, text_id binary, bands array<long>, signature binary, shingles binary"
 
 
-def _signatures(weighted: bool):
+def _signatures(weighted: bool, given: bool):
     def step(batches):
         rid, powers = row_base(), _Powers()
 
-        def signed(texts: list[bytes], ids: pa.Array):
+        def signed(texts: list[bytes], ids: pa.Array, rows: pa.Array):
             doc, hashed, count = shingles(texts, powers)
             sig = dart_minhash(doc, hashed, count.astype(np.float64) if weighted else np.ones(len(doc)), len(texts))
             some = np.bincount(doc, minlength=len(texts)) > 0
@@ -156,7 +156,7 @@ def _signatures(weighted: bool):
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(rid, rid + len(texts))), ids, pa.array([hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts], pa.binary()),
+                    rows, ids, pa.array([hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts], pa.binary()),
                     pa.array([k if s else [] for k, s in zip(keys, some)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in short], pa.binary()),
                     pa.array([np.unique(small[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 ],
@@ -171,7 +171,8 @@ def _signatures(weighted: bool):
                 while end < len(texts) and end - at < _CHUNK_DOCS and (end == at or size + len(texts[end]) <= _CHUNK_BYTES):
                     size += len(texts[end])
                     end += 1
-                yield signed(texts[at:end], batch["doc_id"].slice(at, end - at))
+                rows = batch["row"].slice(at, end - at) if given else pa.array(np.arange(rid, rid + end - at))
+                yield signed(texts[at:end], batch["doc_id"].slice(at, end - at), rows)
                 rid += end - at
                 at = end
 
@@ -243,16 +244,9 @@ def _between(weighted: bool):
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
-    """doc_id, class_id, kept: one row per row of docs; class_id is the least doc_id of the class, kept marks its one row that stays.
-
-    Words are what white space separates, as they are. Texts with the same words are copies; texts without words, null
-    ones too, are copies of each other. A text of fewer than five words is one shingle. Null ids come last, and of rows
-    that are repeated whole one stays. weighted: shingles count as often as they occur, and similarity is judged by
-    signatures alone. An empty table gives an empty result; other columns are not read.
-    """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = materialize(arrow_pass(own, _signatures(weighted), _TABLE), "signatures")
+def _decided(docs: DataFrame, doc_id: str, text: str, weighted: bool = False, row: str | None = None) -> DataFrame:
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
+    table = materialize(arrow_pass(own, _signatures(weighted, row is not None), _TABLE), "signatures")
     texts = materialize(table.groupBy("text_id").agg(F.min_by("bands", "rid").alias("bands"), F.min("rid").alias("rid")), "texts")
     keyed = texts.select("rid", F.posexplode("bands").alias("band", "key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -286,13 +280,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = components(links.unionByName(late))
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-    row = table.select("rid", "doc_id", "text_id").join(texts.select("text_id", F.col("rid").alias("node")), "text_id").drop("text_id")
-    row = materialize(row.join(found, "node", "left").select("rid", "doc_id", F.coalesce("component", "node").alias("component")), "classes")
-    classes = row.groupBy("component").agg(first)
-    return row.join(classes, "component").select("doc_id", F.col("first.doc_id").alias("class_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
+    member = table.select("rid", "doc_id", "text_id").join(texts.select("text_id", F.col("rid").alias("node")), "text_id").drop("text_id")
+    member = materialize(member.join(found, "node", "left").select("rid", "doc_id", F.coalesce("component", "node").alias("component")), "classes")
+    classes = member.groupBy("component").agg(first)
+    return member.join(classes, "component").select("rid", "doc_id", F.col("first.doc_id").alias("class_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
+    """doc_id, class_id, kept: one row per row of docs; class_id is the least doc_id of the class, kept marks its one row that stays.
+
+    Words are what white space separates, as they are. Texts with the same words are copies; texts without words, null
+    ones too, are copies of each other. A text of fewer than five words is one shingle. Null ids come last, and of rows
+    that are repeated whole one stays. weighted: shingles count as often as they occur, and similarity is judged by
+    signatures alone. An empty table gives an empty result; other columns are not read.
+    """
+    return _decided(docs, doc_id, text, weighted).drop("rid")
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, all their columns. Rows that share a doc_id stand or fall together; give ids that are unique."""
-    stays = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs[doc_id].cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    """The rows of docs that stay, all their columns: one row of each class, whatever ids rows have."""
+    own = numbered(docs, "documents")
+    stays = _decided(own, doc_id, text, row="_row").where("kept").select(F.col("rid").alias("_row"))
+    return own.join(stays, "_row", "left_semi").drop("_row")

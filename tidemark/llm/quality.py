@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, fold, materialize
+from .common import arrow_pass, fold, materialize, numbered
 
 FEATURES = 256
 WIDTH = 3.0
@@ -55,7 +55,8 @@ def _statistics_pass(batches):
     for batch in batches:
         rows = [statistics(x) for x in batch["text"].to_pylist()]
         flat = np.asarray(rows, np.float32).reshape(-1)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(STATISTICS), dtype=np.int32), pa.array(flat))], names=["doc_id", "stats"])
+        stats = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(STATISTICS), dtype=np.int32), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], stats], names=["row", "doc_id", "stats"])
 
 
 class Model:
@@ -146,6 +147,19 @@ def fit(stats: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     return model
 
 
+def _scored(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str = "quality", cut: float = CUT, row: str | None = None) -> DataFrame:
+    stats = materialize(arrow_pass(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(row) if row else F.lit(None)).cast("long").alias("row")), _statistics_pass, "row long, doc_id long, stats array<float>"), "stats")
+    seen = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where(fold("doc_id", 5) != 0)
+    model = fit(stats, seen)
+
+    def scored(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(model.score(_stacked(batch)))], names=["row", "doc_id", "score"])
+
+    found = arrow_pass(stats, scored, "row long, doc_id long, score double")
+    return found.select("row", "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs.
 
@@ -153,19 +167,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     zero statistics; null labels are skipped; without any label every score is about 0.5. Repeated rows get equal
     scores; rows without an id are scored and not learned from; other columns are not read.
     """
-    stats = materialize(arrow_pass(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), _statistics_pass, "doc_id long, stats array<float>"), "stats")
-    seen = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where(fold("doc_id", 5) != 0)
-    model = fit(stats, seen)
-
-    def scored(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(_stacked(batch)))], names=["doc_id", "score"])
-
-    found = arrow_pass(stats, scored, "doc_id long, score double")
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return _scored(docs, labels, doc_id, text, label, cut).drop("row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose text is predicted good, all their columns. Rows that share a doc_id fall together."""
-    bad = score_quality(docs, labels, doc_id, text).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs whose text is predicted good, all their columns, whatever ids rows have."""
+    own = numbered(docs, "documents")
+    bad = _scored(own, labels, doc_id, text, row="_row").where("predicted = 0").select(F.col("row").alias("_row"))
+    return own.join(bad, "_row", "left_anti").drop("_row")
