@@ -131,3 +131,12 @@ def test_raster_relations(spark):
     assert [tuple(r) for r in valid_counts(df, plan(cat, "ellipse", "mllw"), raster).collect()] == [(0, "r", 2)]
     assert stacked(df, plan(cat, "ellipse", "mllw"), raster).where("region_index = 0").count() == 2
     assert band_roles(["Depth", "elevation"]) == {"elevation": 0}
+
+
+@pytest.mark.parametrize("unrolled", [8, 2, 1])
+def test_equal_points_stay_apart(spark, unrolled, monkeypatch):
+    monkeypatch.setattr(lookup, "MOST_UNROLLED", unrolled)
+    cat, _ = world(spark)
+    rows = [(x, y, z) for _, x, y, z in cloud(40)]
+    got = lambda r: sorted(transform_points(spark.createDataFrame(r, "x double, y double, z double"), cat, "ellipse", "mllw").collect(), key=str)
+    assert got(rows * 3) == sorted(got(rows) * 3, key=str)

@@ -18,7 +18,7 @@ from ..functions.grid import bilinear, nearest, wrap
 from ..plans.transform import TransformPlan, lattice_groups, most_overlap
 
 BROADCAST_BYTES = 64 << 20
-#: Beyond this many overlapping regions a point's candidates become rows of their own.
+#: After this many places what they found is merged, so that rows stay narrow where many regions overlap.
 MOST_UNROLLED = 8
 
 
@@ -92,20 +92,17 @@ def separations(points: DataFrame, plan: TransformPlan, interp: str = "bilinear"
         return df.withColumn(f"_{c}", F.when(valid, whole)).drop(*[f"v_{x}" for x in layers])
 
     df = points.withColumn("_held", held)
-    if each or most > MOST_UNROLLED:
-        df = df.withColumn("c", F.explode_outer("_held")).drop("_held")
-        df = looked_up(df, "c")
-        if each:
-            return df.select(*names, F.coalesce("c.ord", F.lit(None)).alias("ord"), F.col("c.region").alias("region"), *[F.col(f"_c.{x}").alias(f"{x}") for x in layers])
-        keys = [n for n in names]
-        rank = {i: k for k, (i, _) in enumerate(sorted(plan.regions, key=lambda ir: (order or (lambda i: (i,)))(ir[0])))}
-        best = F.create_map(*[F.lit(v) for kv in rank.items() for v in kv])
-        df = df.groupBy(*keys).agg(F.max_by("_c", F.get(F.array(best[F.col("_c.ord")]), F.lit(0))).alias("_best"))
-    else:
-        for k in range(most):
+    if each:
+        df = looked_up(df.withColumn("c", F.explode_outer("_held")).drop("_held"), "c")
+        return df.select(*names, F.coalesce("c.ord", F.lit(None)).alias("ord"), F.col("c.region").alias("region"), *[F.col(f"_c.{x}").alias(f"{x}") for x in layers])
+    best: list[str] = []
+    for begin in range(0, most, MOST_UNROLLED):
+        places = range(begin, min(begin + MOST_UNROLLED, most))
+        for k in places:
             df = looked_up(df.withColumn(f"c{k}", F.get("_held", F.lit(k))), f"c{k}").drop(f"c{k}")
-        found = [F.col(f"_c{k}") for k in range(most)]
-        df = df.withColumn("_best", F.coalesce(*found) if len(found) > 1 else found[0])
+        found = [*best, *[f"_c{k}" for k in places]]
+        df = df.withColumn("_best", F.coalesce(*found) if len(found) > 1 else F.col(found[0])).drop(*[f"_c{k}" for k in places])
+        best = ["_best"]
     return df.select(*names, F.col("_best.ord").alias("ord"), F.col("_best.region").alias("region"), *[F.col(f"_best.{x}").alias(x) for x in layers])
 
 
