@@ -140,3 +140,13 @@ def test_equal_points_stay_apart(spark, unrolled, monkeypatch):
     rows = [(x, y, z) for _, x, y, z in cloud(40)]
     got = lambda r: sorted(transform_points(spark.createDataFrame(r, "x double, y double, z double"), cat, "ellipse", "mllw").collect(), key=str)
     assert got(rows * 3) == sorted(got(rows) * 3, key=str)
+
+
+def test_regions_of_both_longitude_conventions_overlap(spark):
+    assert most_overlap([(200, 0, 201, 1), (-160, 0, -159, 1), (359, 0, 362, 1), (-0.5, 0, 1, 1), (1.5, 0, 3, 1)]) == 2
+    lattices = [Lattice(10.0, lon, 0.5, 0.5, 3, 3) for lon in (200.0, -160.0)]
+    rows = [(f"r{n}", "geoid", i, [2.0 if n == 0 else None] * 3) for n in range(2) for i in range(3)]
+    regions = tuple(Region(f"r{n}", "core\\geoid12b\\g2012bu0.gtx", {"geoid": g}) for n, g in enumerate(lattices))
+    cat = Catalog(regions, spark.createDataFrame(rows, "region string, layer string, row int, vals array<double>"))
+    got = transform_points(spark.createDataFrame([(1, 200.5, 10.5, 5.0), (2, -159.5, 10.5, 5.0)], "pid long, x double, y double, z double"), cat, "ellipse", "geoid").collect()
+    assert [(r["z"], r["region_index"]) for r in got] == [(3.0, 0)] * 2

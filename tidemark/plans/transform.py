@@ -79,9 +79,12 @@ def lattice_groups(p: TransformPlan) -> list[list[str]]:
 
 
 def most_overlap(boxes: list[tuple[float, float, float, float]]) -> int:
-    """The largest number of boxes that share a point: it is at the corner of some box's left and some box's lower side."""
+    """The largest number of boxes that share a point: it is at the corner of some box's left and some box's lower side.
+
+    Longitudes count modulo 360, as in the lookup. Sides that meet within 1e-9 degrees count as shared.
+    """
     most = 0
     for x in {b[0] for b in boxes}:
-        over = [b for b in boxes if b[0] <= x <= b[2]]
+        over = [b for b in boxes if (x - b[0] + 1e-9) % 360 <= b[2] - b[0] + 2e-9]
         most = max([most, *(sum(c[1] <= b[1] <= c[3] for c in over) for b in over)])
     return most
