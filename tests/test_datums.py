@@ -110,3 +110,12 @@ def test_transformation_between_systems():
 def test_datum_wkt():
     assert 'VDATUM["NAD83 / UTM zone 14N + ellipse"]' in datum_wkt("ellipse", 26914, {})
     assert 'AXIS["depth (D)",down]' in datum_wkt("mllw", 26914, {"TXlagmat01_8301": GEOID})
+
+
+def test_sigma_meets_every_region(spark):
+    from tidemark.operators.catalog_ops import sigma_by_region
+
+    sigma = spark.createDataFrame([("r", "tss", 0.1)], "region string, layer string, sigma_m double")
+    regions = spark.range(10_500).selectExpr("concat('R', id) as region")
+    got = sigma_by_region(sigma, regions)
+    assert got.count() == 10_500 and got.first()["matches"] == 10_500

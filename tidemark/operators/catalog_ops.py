@@ -101,7 +101,7 @@ def parse_sigma(lines: DataFrame) -> DataFrame:
 def sigma_by_region(sigma: DataFrame, regions: DataFrame) -> DataFrame:
     """entry, region, layer, sigma_m, matches: the regions whose lower-cased name starts with the entry's; an entry should match one."""
     rows = sigma.where("region <> 'conus'").select(F.col("region").alias("entry"), "layer", "sigma_m")
-    found = rows.join(F.broadcast(regions.select("region").limit(10_000)), F.startswith(F.lower("region"), F.col("entry")))
+    found = rows.join(F.broadcast(regions.select("region")), F.startswith(F.lower("region"), F.col("entry")))
     counts = found.groupBy("entry", "layer").agg(F.count_distinct("region").alias("matches"))
     return found.join(counts, ["entry", "layer"]).select("entry", "region", "layer", "sigma_m", "matches")
 
