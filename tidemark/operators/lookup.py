@@ -1,25 +1,38 @@
 """Grid shifts of points in the regions that may hold them, without a shuffle.
 
-A region can only serve a point inside all its grids, so each point gets the list of such regions, in order of
-precedence, from a small literal. Its length is bounded by how many grid boxes overlap anywhere, which the driver knows.
-Each place of that list is looked up by a join on (region, grid row), and the first valid one counts: no row is
-multiplied and nothing is grouped again. Grids are broadcast while they are below BROADCAST_BYTES together; beyond, the
-same equi-joins shuffle.
+A region can only serve a point inside all its grids. An index of coarse cells lists, for each cell, the regions whose
+box meets it, in order of precedence; one join on the cell gives a point its few candidates. How many at most hold a
+point follows from how the boxes overlap, which the driver knows. Each place of the list is looked up by a join on
+(region, grid row), and the first valid one counts: no row is multiplied and nothing is grouped again. The index and the
+grids are broadcast while they are below BROADCAST_BYTES; beyond, the same equi-joins shuffle.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import bilinear, nearest, wrap
-from ..plans.transform import TransformPlan, lattice_groups, most_overlap
+from ..plans.catalog import GEOID_FRAMES
+from ..plans.transform import TransformPlan, cells_of, lattice_groups, most_overlap
 
 BROADCAST_BYTES = 64 << 20
 #: After this many places what they found is merged, so that rows stay narrow where many regions overlap.
 MOST_UNROLLED = 8
+#: Degrees that a place may differ by from frame to frame (some metres).
+FRAME_SHIFT = 1e-4
+_LATTICE = "struct<lat:double,lon:double,dlat:double,dlon:double,rows:int,cols:int>"
+
+
+def private(columns: list[str]) -> str:
+    """A prefix that none of columns begins with, so that what a plan adds meets no column of the caller."""
+    prefix = "_tm_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def _box(region, layers: list[str]) -> tuple[float, float, float, float]:
@@ -38,80 +51,130 @@ def _bands(plan: TransformPlan, layers: list[str], interp: str) -> DataFrame:
     return parts.groupBy("region", "i").agg(*packed)
 
 
-def candidates(plan: TransformPlan, x: Column, y: Column, order: Callable[[int], tuple]) -> tuple[Column, int]:
-    """Array of the regions whose grids hold (x, y), best by order first, and its largest length."""
+Places = dict[str, tuple[Column, Column]]
+
+
+def candidates(points: DataFrame, plan: TransformPlan, prefix: str, order: Callable[[int], tuple], frames: list[str]) -> tuple[DataFrame, int]:
+    """points with an array prefix + held of the regions whose grids hold the point, best by order first; and its largest length.
+
+    points have prefix + p, an array of the place (x, y) in each of frames; a region looks in the frame of its geoid.
+    """
     ranked = sorted(plan.regions, key=lambda ir: order(ir[0]), reverse=True)
     boxes = [_box(r, plan.layers) for _, r in ranked]
-    fields = []
+    groups = lattice_groups(plan)
+    step, cells = cells_of(boxes, pad=1e-9 if len(frames) == 1 else FRAME_SHIFT)
+    regions = []
     for (i, r), (x0, y0, x1, y1) in zip(ranked, boxes):
-        parts = [F.lit(r.name).alias("region"), F.lit(i).alias("ord"), F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(x1 - x0).alias("width"), F.lit(y1).alias("y1")]
-        for g, layers in enumerate(lattice_groups(plan)):
-            lattice = r.grids[layers[0]]
-            parts += [F.lit(v).alias(f"{k}{g}") for k, v in (("lat", lattice.lat0), ("lon", lattice.lon0), ("dlat", lattice.dlat), ("dlon", lattice.dlon), ("rows", lattice.rows), ("cols", lattice.cols))]
-        fields.append(F.struct(*parts))
-    held = F.filter(F.array(*fields), lambda c: (y >= c["y0"]) & (y <= c["y1"]) & (wrap(x - c["x0"]) <= c["width"]))
-    return held, most_overlap(boxes)
+        lattices = [r.grids[layers[0]] for layers in groups]
+        regions.append({"region": r.name, "ord": i, "x0": x0, "y0": y0, "width": x1 - x0, "y1": y1, "f": _frame(r, frames), "g": [{"lat": a.lat0, "lon": a.lon0, "dlat": a.dlat, "dlon": a.dlon, "rows": a.rows, "cols": a.cols} for a in lattices]})
+    listed = [{"cx": cx, "cy": cy, "all": [regions[k] for k in held]} for (cx, cy), held in sorted(cells.items())]
+    kind = f"array<struct<cx:int,cy:int,all:array<struct<region:string,ord:int,x0:double,y0:double,width:double,y1:double,f:int,g:array<{_LATTICE}>>>>>"
+    text = json.dumps(listed)
+    index = points.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), kind))).toDF(*[prefix + c for c in ("cx", "cy", "all")])
+    cell = lambda v: F.floor(v / F.lit(step)).try_cast("int")
+    first = F.get(f"{prefix}p", F.lit(0))
+    at = points.withColumns({f"{prefix}x": cell(wrap(first["x"])), f"{prefix}y": cell(first["y"])})
+    small = F.broadcast if len(text) <= BROADCAST_BYTES else (lambda t: t)
+    found = at.join(small(index), (F.col(f"{prefix}x") == F.col(f"{prefix}cx")) & (F.col(f"{prefix}y") == F.col(f"{prefix}cy")), "left")
+
+    def holds(c: Column) -> Column:
+        p = F.get(f"{prefix}p", c["f"])
+        return (p["y"] >= c["y0"]) & (p["y"] <= c["y1"]) & (wrap(p["x"] - c["x0"]) <= c["width"])
 
+    return found.select(*_own(points), F.filter(f"{prefix}all", holds).alias(f"{prefix}held")), most_overlap(boxes, 1e-9 if len(frames) == 1 else FRAME_SHIFT)
 
-def separations(points: DataFrame, plan: TransformPlan, interp: str = "bilinear", order: Callable[[int], tuple] | None = None, each: bool = False) -> DataFrame:
-    """points (x, y) with ord, region and one value for each step, all null where no region is valid.
 
-    order ranks regions by their place; higher wins, and by default the last. each: a row for every region that holds
-    the point instead, valid or not.
+def _frame(region, frames: list[str]) -> int:
+    frame = GEOID_FRAMES.get(region.geoid, "")
+    return frames.index(frame) if frame in frames else 0
+
+
+def _own(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def separations(
+    points: DataFrame, plan: TransformPlan, interp: str = "bilinear", order: Callable[[int], tuple] | None = None, each: bool = False, out: str = "found", places: Places | None = None,
+) -> DataFrame:
+    """points and a struct out of ord, region and one value for each layer, null where no region is valid.
+
+    places has, for each frame that geoids of the regions are given in, where to look; by default columns x and y in all
+    of them. order ranks regions by their place; higher wins,
+    and by default the last. each: a row for every region that holds the point instead; its struct has region and ord
+    even where values are missing.
     """
-    held, most = candidates(plan, F.col("x"), F.col("y"), order or (lambda i: (i,)))
+    places = places or {"": (F.col("x"), F.col("y"))}
+    prefix = private([*points.columns, out])
+    here = points.withColumn(f"{prefix}p", F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in places.values()]))
+    df, most = candidates(here, plan, prefix, order or (lambda i: (i,)), list(places))
     groups = lattice_groups(plan)
-    size = sum(r.grids[x].node_bytes() for _, r in plan.regions for x in set(plan.layers)) * 2
+    size = sum(r.grids[layer].node_bytes() for _, r in plan.regions for layer in set(plan.layers)) * 2
     small = F.broadcast if size <= BROADCAST_BYTES else (lambda t: t)
-    bands = [small(_bands(plan, layers, interp)) for layers in groups]
-    names = points.columns
-    layers = list(dict.fromkeys(plan.layers))
-
-    def looked_up(df: DataFrame, c: str) -> DataFrame:
-        """With the layers' values in candidate c as an array v_c."""
-        values: dict[str, Column] = {}
-        for g, own in enumerate(groups):
-            p = lambda k: F.col(f"{c}.{k}{g}")  # noqa: B023, E731
-            fi, fj = (F.col("y") - p("lat")) / p("dlat"), wrap(F.col("x") - p("lon")) / p("dlon")
+    own = _own(here)
+    bands = []
+    for layers in groups:
+        rows = _bands(plan, layers, interp)
+        bands.append(small(rows.toDF(*[f"{prefix}{c}" for c in rows.columns])))
+
+    def looked_up(df: DataFrame, candidate: Column, keep: list[Column]) -> tuple[DataFrame, Column]:
+        """df with columns for what candidate is in each group of grids, and the struct of its values."""
+        df = df.select(*own, *keep, candidate.alias(f"{prefix}c"))
+        c, values, cells = F.col(f"{prefix}c"), {}, []
+        for g in range(len(groups)):
+            p, here = F.get(c["g"], F.lit(g)), F.get(f"{prefix}p", c["f"])
+            fi, fj = (here["y"] - p["lat"]) / p["dlat"], wrap(here["x"] - p["lon"]) / p["dlon"]
             if interp == "bilinear":
-                i, j = F.least(F.floor(fi), p("rows") - 2), F.least(F.floor(fj), p("cols") - 2)
+                i, j = F.least(F.floor(fi), p["rows"] - 2), F.least(F.floor(fj), p["cols"] - 2)
             else:
                 i, j = F.floor(fi + 0.5), F.floor(fj + 0.5)
-            df = df.withColumns({"_i": i.cast("int"), "_j": j.cast("int"), "_t": fi - i, "_u": fj - j})
-            table = bands[g].select(F.col("region").alias("_region"), F.col("i").alias("_row"), *[x for x in bands[g].columns if x not in ("region", "i")])
-            df = df.join(table, (F.col(f"{c}.region") == F.col("_region")) & (F.col("_i") == F.col("_row")), "left")
-            for x in own:
-                values[x] = bilinear(F.col(f"{x}_lo"), F.col(f"{x}_hi"), F.col("_j"), F.col("_u"), F.col("_t")) if interp == "bilinear" else nearest(F.col(f"{x}_lo"), F.col("_j"))
-                df = df.withColumn(f"v_{x}", values[x])
-            df = df.drop("_i", "_j", "_t", "_u", "_region", "_row", *[f"{x}_{tag}" for x in own for tag in ("lo", "hi")])
-        got = [F.col(f"v_{x}") for x in layers]
-        valid = F.lit(True)
-        for v in got:
-            valid = valid & v.isNotNull()
-        whole = F.struct(F.col(f"{c}.ord").alias("ord"), F.col(f"{c}.region").alias("region"), *[v.alias(x) for x, v in zip(layers, got)])
-        return df.withColumn(f"_{c}", F.when(valid, whole)).drop(*[f"v_{x}" for x in layers])
-
-    df = points.withColumn("_held", held)
+            cells.append(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), (fi - i).alias("t"), (fj - j).alias("u")).alias(f"{prefix}at{g}"))
+        df = df.select(*own, *keep, f"{prefix}c", *cells)
+        for g, layers in enumerate(groups):
+            at = F.col(f"{prefix}at{g}")
+            df = df.join(bands[g], (c["region"] == F.col(f"{prefix}region")) & (at["i"] == F.col(f"{prefix}i")), "left")
+            for layer in layers:
+                low, high = F.col(f"{prefix}{layer}_lo"), F.col(f"{prefix}{layer}_hi") if interp == "bilinear" else None
+                values[layer] = bilinear(low, high, at["j"], at["u"], at["t"]) if interp == "bilinear" else nearest(low, at["j"])
+            got = F.struct(*[values[layer].alias(layer) for layer in layers]).alias(f"{prefix}v{g}")
+            df = df.select(*own, *keep, f"{prefix}c", *[f"{prefix}at{k}" for k in range(g + 1, len(groups))], *[f"{prefix}v{k}" for k in range(g)], got)
+        names = {layer: F.col(f"{prefix}v{g}")[layer] for g, layers in enumerate(groups) for layer in layers}
+        return df, F.struct(c["ord"].alias("ord"), c["region"].alias("region"), *[names[layer].alias(layer) for layer in dict.fromkeys(plan.layers)])
+
+    def valid(found: Column) -> Column:
+        ok = F.lit(True)
+        for layer in dict.fromkeys(plan.layers):
+            ok = ok & found[layer].isNotNull()
+        return F.when(ok, found)
+
+    mine = _own(points)
     if each:
-        df = looked_up(df.withColumn("c", F.explode_outer("_held")).drop("_held"), "c")
-        return df.select(*names, F.coalesce("c.ord", F.lit(None)).alias("ord"), F.col("c.region").alias("region"), *[F.col(f"_c.{x}").alias(f"{x}") for x in layers])
-    best: list[str] = []
-    for begin in range(0, most, MOST_UNROLLED):
-        places = range(begin, min(begin + MOST_UNROLLED, most))
-        for k in places:
-            df = looked_up(df.withColumn(f"c{k}", F.get("_held", F.lit(k))), f"c{k}").drop(f"c{k}")
-        found = [*best, *[f"_c{k}" for k in places]]
-        df = df.withColumn("_best", F.coalesce(*found) if len(found) > 1 else F.col(found[0])).drop(*[f"_c{k}" for k in places])
-        best = ["_best"]
-    return df.select(*names, F.col("_best.ord").alias("ord"), F.col("_best.region").alias("region"), *[F.col(f"_best.{x}").alias(x) for x in layers])
-
-
-def shifted(z: Column, plan: TransformPlan) -> Column:
+        df = df.withColumn(f"{prefix}one", F.explode_outer(f"{prefix}held"))
+        df, found = looked_up(df, F.col(f"{prefix}one"), [])
+        return df.select(*mine, found.alias(out))
+    best: list[Column] = []
+    for k in range(most):
+        keep = [F.col(f"{prefix}held"), *best]
+        df, found = looked_up(df, F.get(f"{prefix}held", F.lit(k)), keep)
+        df = df.select(*own, *keep, valid(found).alias(f"{prefix}b{k}"))
+        best.append(F.col(f"{prefix}b{k}"))
+        if len(best) > MOST_UNROLLED:
+            df = df.select(*own, f"{prefix}held", F.coalesce(*best).alias(f"{prefix}b{k}"))
+            best = [F.col(f"{prefix}b{k}")]
+    return df.select(*mine, (F.coalesce(*best) if len(best) > 1 else best[0]).alias(out))
+
+
+def shifted(z: Column, plan: TransformPlan, found: str = "found") -> Column:
     """z after all steps, in their order."""
     for s in plan.steps:
-        z = z + F.col(s.grid) if s.inverse else z - F.col(s.grid)
+        v = F.col(found)[s.grid]
+        z = z + v if s.inverse else z - v
     return z
 
 
-def total_shift(plan: TransformPlan) -> Column:
-    return shifted(F.lit(0.0), plan)
+def total_shift(plan: TransformPlan, found: str = "found") -> Column:
+    return shifted(F.lit(0.0), plan, found)
+
+
+def by_region(values: dict[int, float], at: Column) -> Column:
+    """The value of a region by its place, from one literal."""
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in values.items()})), "map<string,double>")[at.cast("string")]

@@ -7,21 +7,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geodesy
 from ..functions.grid import half_even
-from ..plans.catalog import Catalog
+from ..plans.catalog import GEOID_FRAMES, Catalog
 from ..plans.transform import TransformPlan, plan
-from .lookup import separations, total_shift
+from .lookup import by_region, private, separations, total_shift
 
 
 @dataclass(frozen=True)
 class Raster:
-    """Geotransform (x of the corner, width, 0, y of the corner, 0, height) and size, with band names and their nodata."""
+    """Geotransform (x of the corner, width, 0, y of the corner, 0, height) and size, with band names and their nodata.
+
+    epsg is the system of its coordinates; without one they are degrees in the frame of the grids.
+    """
 
     geotransform: tuple[float, ...]
     rows: int
     cols: int
     nodata: dict[str, float]
-    epsg: int = 6318
+    epsg: int | None = None
 
     def bounds(self) -> tuple[float, float, float, float]:
         x0, dx, _, y0, _, dy = self.geotransform
@@ -48,25 +52,40 @@ def masked(cells: DataFrame, raster: Raster) -> DataFrame:
     return cells.withColumns({b: F.when(F.col(b) != v, F.col(b)) for b, v in raster.nodata.items() if b in cells.columns})
 
 
+def _separations(cells: DataFrame, p: TransformPlan, raster: Raster, **options) -> tuple[DataFrame, str]:
+    """cells with the struct of what is found at their middles, and its name."""
+    prefix, (x, y) = private(cells.columns), raster.xy()
+    if raster.epsg is None:
+        return separations(cells, p, interp="nearest", out=f"{prefix}f", places={"": (x, y)}, **options), f"{prefix}f"
+    frames = sorted({GEOID_FRAMES.get(r.geoid, geodesy.NAD83) for _, r in p.regions})
+    here = cells
+    for k, frame in enumerate(frames):
+        here = geodesy.add_geographic(here, f"{prefix}geo{k}", raster.epsg, x, y, F.lit(0.0), frame)
+    places = {frame: (F.col(f"{prefix}geo{k}")["x"], F.col(f"{prefix}geo{k}")["y"]) for k, frame in enumerate(frames)}
+    return separations(here, p, interp="nearest", out=f"{prefix}f", places=places, **options), f"{prefix}f"
+
+
 def region_separations(cells: DataFrame, p: TransformPlan, raster: Raster) -> DataFrame:
     """cells with ord, region and sep for every region whose grids hold the cell; sep is null where nodata is nearest."""
-    x, y = raster.xy()
-    found = separations(cells.withColumns({"x": x, "y": y}), p, interp="nearest", each=True)
-    return found.withColumn("sep", total_shift(p)).select(*cells.columns, "ord", "region", "sep")
+    found, f = _separations(cells, p, raster, each=True)
+    return found.select(*cells.columns, F.col(f)["ord"].alias("ord"), F.col(f)["region"].alias("region"), total_shift(p, f).alias("sep"))
 
 
 def valid_counts(cells: DataFrame, p: TransformPlan, raster: Raster) -> DataFrame:
     """ord, region, n: cells with a separation, for each region that has any."""
-    return region_separations(cells, p, raster).where("sep is not null").groupBy("ord", "region").agg(F.count(F.lit(1)).alias("n"))
+    return region_separations(cells.select("row", "col"), p, raster).where("sep is not null").groupBy("ord", "region").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stacked(cells: DataFrame, p: TransformPlan, raster: Raster, counts: dict[int, int] | None = None) -> DataFrame:
-    """cells with sep, region_index, region: of several regions the one with most valid cells counts, of equals the later."""
+    """cells with sep, region_index, region: of several regions the one with most valid cells counts, of equals the later.
+
+    No region can be chosen before all cells are counted, so cells are read twice: both passes are narrow, which costs less
+    than to write and read again what each region gives each cell.
+    """
     if counts is None:
         counts = {r["ord"]: r["n"] for r in valid_counts(cells, p, raster).collect()}
-    x, y = raster.xy()
-    found = separations(cells.withColumns({"x": x, "y": y}), p, interp="nearest", order=lambda i: (counts.get(i, 0), i))
-    return found.withColumn("sep", total_shift(p)).select(*cells.columns, "sep", F.coalesce("ord", F.lit(-1)).alias("region_index"), "region")
+    found, f = _separations(cells, p, raster, order=lambda i: (counts.get(i, 0), i))
+    return found.select(*cells.columns, total_shift(p, f).alias("sep"), F.coalesce(F.col(f)["ord"], F.lit(-1)).alias("region_index"), F.col(f)["region"].alias("region"))
 
 
 def is_covered(stack: DataFrame) -> DataFrame:
@@ -83,12 +102,12 @@ def transform_raster(
     zero, h upwards), unless their own is larger. Elsewhere the region's uncertainty is added to their own.
     """
     p = plan(catalog, source, target)
-    own = masked(cells, raster)
+    own = masked(cells.select("row", "col", "elev", *[b for b in ("unc", "contributor") if b in cells.columns]), raster)
     if p.identity:
         stack, sigma = own.withColumns({"sep": F.lit(0.0), "region_index": F.lit(0)}), F.lit(0.0)
     else:
         stack = stacked(own, p, raster)
-        sigma = F.create_map(*[F.lit(v) for i, r in p.regions for v in (i, p.sigma(r.name, **sigma_options))])[F.col("region_index")]
+        sigma = by_region({i: p.sigma(r.name, **sigma_options) for i, r in p.regions}, F.col("region_index"))
     flip = F.lit(1.0 if p.up_in == p.up_out else -1.0)
     elev, sep = F.col("elev"), F.col("sep")
     inside = flip * (elev + sep if p.up_in else elev - sep)

@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-MOST_REGIONS = 127
 #: Layers with uncertainties.
 SIGMA_LAYERS = ["tss", "mhhw", "mhw", "mlw", "mllw", "dtl", "mtl"]
 #: Geoid files and the frame each is given in.
@@ -71,10 +70,6 @@ class Catalog:
     sigma_geoid: dict[str, float] = field(default_factory=dict)
     release: str = ""
 
-    def __post_init__(self):
-        if len(self.regions) > MOST_REGIONS:
-            raise ValueError(f"more than {MOST_REGIONS} regions; choose by bounds first")
-
     def within(self, x0: float, y0: float, x1: float, y1: float, strict: bool = False) -> Catalog:
         """With the regions whose bounds meet a box. strict wants a box that has some area."""
         if strict and not (x0 < x1 and y0 < y1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from .catalog import Catalog, Lattice, Region
@@ -29,12 +30,15 @@ class TransformPlan:
         return output_sigma(self.catalog, self.source, self.target, region, **options)
 
 
-def plan(catalog: Catalog, source: str, target: str, strict_reference: bool = False) -> TransformPlan:
-    """Equal datums, by one name or two, leave values as they are; strict_reference raises there, as no grid is found."""
+def plan(catalog: Catalog, source: str, target: str, strict_reference: bool = False, up: tuple[bool, bool] | None = None) -> TransformPlan:
+    """Equal datums, by one name or two, leave values as they are; strict_reference raises there, as no grid is found.
+
+    up: whether values of source and of target count upwards, where their systems say other than the datums' names.
+    """
     source, target = source.lower(), target.lower()
     definition(source), definition(target)
     steps = compile_steps(source, target) or ()
-    up = is_height(source), is_height(target)
+    up = up or (is_height(source), is_height(target))
     if not catalog.regions:
         raise ValueError("no region meets the data")
     if not steps:
@@ -78,13 +82,37 @@ def lattice_groups(p: TransformPlan) -> list[list[str]]:
     return list(groups.values())
 
 
-def most_overlap(boxes: list[tuple[float, float, float, float]]) -> int:
+def most_overlap(boxes: list[tuple[float, float, float, float]], pad: float = 1e-9) -> int:
     """The largest number of boxes that share a point: it is at the corner of some box's left and some box's lower side.
 
-    Longitudes count modulo 360, as in the lookup. Sides that meet within 1e-9 degrees count as shared.
+    Longitudes count modulo 360, as in the lookup. Sides that meet within pad degrees count as shared.
     """
     most = 0
     for x in {b[0] for b in boxes}:
-        over = [b for b in boxes if (x - b[0] + 1e-9) % 360 <= b[2] - b[0] + 2e-9]
-        most = max([most, *(sum(c[1] <= b[1] <= c[3] for c in over) for b in over)])
+        over = [b for b in boxes if (x - b[0] + pad) % 360 <= b[2] - b[0] + 2 * pad]
+        most = max([most, *(sum(c[1] - pad <= b[1] <= c[3] + pad for c in over) for b in over)])
     return most
+
+
+def cells_of(boxes: list[tuple[float, float, float, float]], most: int = 20_000, pad: float = 1e-9) -> tuple[float, dict[tuple[int, int], list[int]]]:
+    """The side of square cells and, for each cell (of longitudes from 0 to 360), the places of the boxes that meet it, in their order.
+
+    The side starts at a degree and grows until the boxes list most cells or fewer in all, or cells are as wide as they get.
+    """
+    for step in (1.0, 2.0, 5.0, 10.0, 30.0, 90.0):
+        around, out, n = round(360 / step), {}, 0
+        for k, (x0, y0, x1, y1) in enumerate(boxes):
+            start = x0 % 360
+            wide = range(math.floor((start - pad) / step), min(math.floor((start + x1 - x0 + pad) / step), math.floor((start - pad) / step) + around) + 1)
+            xs = {c % around for c in wide}
+            xs |= {around} if 0 in xs else set()  # a longitude just below 0 may round to 360
+            ys = range(math.floor((y0 - pad) / step), math.floor((y1 + pad) / step) + 1)
+            n += len(xs) * len(ys)
+            if n > most and step < 90:
+                break
+            for cx in xs:
+                for cy in ys:
+                    out.setdefault((cx, cy), []).append(k)
+        else:
+            return step, out
+    return step, out

@@ -12,24 +12,24 @@ from pyspark.sql import functions as F
 from ..plans.catalog import Lattice
 
 NODATA = -88.8888
-_HEAD = struct.Struct(">4d2i")
+_HEAD, _HEAD_SIZE = ">4d2i", 40
 
 
 def encode(lattice: Lattice, values: np.ndarray) -> bytes:
-    head = _HEAD.pack(lattice.lat0, lattice.lon0, lattice.dlat, lattice.dlon, lattice.rows, lattice.cols)
+    head = struct.pack(_HEAD, lattice.lat0, lattice.lon0, lattice.dlat, lattice.dlon, lattice.rows, lattice.cols)
     return head + np.where(np.isnan(values), NODATA, values).astype(">f4").tobytes()
 
 
 def decode_head(content: bytes) -> Lattice:
-    if len(content) < _HEAD.size:
+    if len(content) < _HEAD_SIZE:
         raise ValueError("too short for a grid")
-    return Lattice(*_HEAD.unpack_from(content))
+    return Lattice(*struct.unpack_from(_HEAD, content))
 
 
 def decode(content: bytes) -> tuple[Lattice, np.ndarray]:
     """Values with NaN for nodata; an error where the file's size and header disagree."""
     lattice = decode_head(content)
-    values = np.frombuffer(content, ">f4", offset=_HEAD.size)
+    values = np.frombuffer(content, ">f4", offset=_HEAD_SIZE)
     if len(values) != lattice.rows * lattice.cols:
         raise ValueError(f"{len(values)} values for {lattice.rows} x {lattice.cols} nodes")
     values = values.astype(np.float64).reshape(lattice.rows, lattice.cols)
