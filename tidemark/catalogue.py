@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import geodesy_sql as geo
 from .functions import geodesy
 from .functions.grid import half_even, wrap
 from .operators import catalog_ops as ops
@@ -15,7 +16,7 @@ from .operators import points as pts
 from .operators import raster as ras
 from .plans import crs
 from .plans.catalog import GEOID_FRAMES
-from .plans.datums import DEFINITIONS, compile_steps, is_height, pipeline_text
+from .plans.datums import DEFINITIONS, pipeline_text
 from .plans.transform import output_sigma, plan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,21 +36,29 @@ def _query(sql: str = "", name: str = ""):
 
 # Points -------------------------------------------------------------------------------------------------------------
 
-def _sql_shift(source: str, target: str) -> tuple[str, str, str]:
-    """CTEs that end in best (pid, ord, region, n_regionkey, zz) of covered points; z before and the rounded z after the signs."""
-    steps = compile_steps(source, target)
-    layers = list(dict.fromkeys(s.grid for s in steps))
-    z_in = "z" if is_height(source) else "(-z)"
-    shift = z_in + "".join(f" {'+' if s.inverse else '-'} v_{s.grid}" for s in steps)
-    sign = "" if is_height(target) else "-"
-    ctes = f"""{fx.SQL_POINTS}, {fx.SQL_REGIONS},
-cand as (select *, least(floor((y - y0) / 0.05::double), 9)::bigint as i, least(floor({fx.SQL_EAST} / 0.05::double), 9)::bigint as j,
-    (y - y0) / 0.05::double as fi, {fx.SQL_EAST} / 0.05::double as fj from pts join reg on {fx.SQL_INSIDE}),
+#: The steps of each request as the documentation writes them out: signs of what is added, whether z counts upwards before and after.
+_WRITTEN = {
+    ("ellipse", "mllw"): ("- v_geoid + v_tss - v_mllw", True, False), ("ellipse", "geoid"): ("- v_geoid", True, True), ("ellipse", "tss"): ("- v_geoid + v_tss", True, True),
+    ("ellipse", "mhw"): ("- v_geoid + v_tss - v_mhw", True, False), ("ellipse", "mtl"): ("- v_geoid + v_tss - v_mtl", True, False), ("ellipse", "dtl"): ("- v_geoid + v_tss - v_dtl", True, False),
+    ("mllw", "ellipse"): ("+ v_mllw - v_tss + v_geoid", False, True), ("mllw", "mhw"): ("+ v_mllw - v_mhw", False, False), ("navd88", "mllw"): ("+ v_tss - v_mllw", True, False),
+    ("tss", "noaa chart datum"): ("- v_mllw", True, False), ("noaa chart height", "geoid"): ("+ v_mhw - v_tss", False, True),
+}
+
+
+def _sql_shift(source: str, target: str, points: str = fx.SQL_POINTS, regions: str = fx.SQL_REGIONS, lon: str = "x", lat: str = "y", z: str = "z") -> tuple[str, str, str]:
+    """CTEs that end in pick (pid, ord, region, n_regionkey, zz) of covered points; z before and the rounded z after the signs."""
+    steps, up_in, up_out = _WRITTEN[source, target.lower()]
+    layers = list(dict.fromkeys(w[2:] for w in steps.split() if w.startswith("v_")))
+    shift = (z if up_in else f"(-{z})") + " " + steps
+    east, inside = fx.SQL_EAST.replace("x - x0", f"{lon} - x0"), fx.SQL_INSIDE.replace("x - x0", f"{lon} - x0").replace("y >= y0 and y <= y0", f"{lat} >= y0 and {lat} <= y0")
+    ctes = f"""{points}, {regions},
+cand as (select *, least(floor(({lat} - y0) / 0.05::double), 9)::bigint as i, least(floor({east} / 0.05::double), 9)::bigint as j,
+    ({lat} - y0) / 0.05::double as fi, {east} / 0.05::double as fj from pts join reg on {inside}),
 frac as (select *, fi - i as t, fj - j as u from cand),
 vals as (select *, {', '.join(f'{fx.sql_bilinear(x)} as v_{x}' for x in layers)} from frac),
 best as (select *, {shift} as zz, row_number() over (partition by pid order by ord desc) as rn from vals where {' and '.join(f'v_{x} is not null' for x in layers)}),
 pick as (select * from best where rn = 1)"""
-    return ctes, shift, f"round_even({sign}(zz) * 1000::double, 0) / 1000::double + 0::double"
+    return ctes, shift, f"round_even({'' if up_out else '-'}(zz) * 1000::double, 0) / 1000::double + 0::double"
 
 
 def _sql_points(source: str, target: str, columns: str = "p.pid, {z} as z, coalesce(b.ord, -1) as region_index", tail: str = "from pts p left join pick b on p.pid = b.pid") -> str:
@@ -91,7 +100,7 @@ def points_summary(spark, d):
 
 
 @_query(
-    _sql_points("ellipse", "mllw", "p.pid, true as same", "from pts p join pick b on p.pid = b.pid"),
+    _sql_points("ellipse", "mllw", "p.pid, abs(round_even((-({z}) + v_mllw - v_tss + v_geoid) * 1000::double, 0) / 1000::double - p.z) <= 0.0011::double as same", "from pts p join pick b on p.pid = b.pid"),
 )
 def points_roundtrip(spark, d):
     """There and back in the region that served the way there: within a millimetre of where it began."""
@@ -397,17 +406,19 @@ def external_remove(spark, d):
 
 # Texts --------------------------------------------------------------------------------------------------------------
 
-def _sql_pipelines() -> str:
-    names, rows = list(DEFINITIONS), []
-    for s in names:
-        for t in names:
-            text = pipeline_text(s, t, "@R@", "@G@")
-            sql = "null::varchar" if text is None else "'" + text.replace("@R@", "' || region || '").replace("@G@", "' || geoid || '") + "'"
-            rows.append(f"select '{s}' as source, '{t}' as target, region, {sql} as pipeline from r")
-    return f"with r as (select 'r' || n_nationkey as region, {_SQL_GEOID} as geoid from nation) " + " union all ".join(rows)
+_G, _T = "'+proj=vgridshift grids=@G@'", "'+inv +proj=vgridshift grids=@R@\\tss.gtx'"
+_L = lambda x: f"'+proj=vgridshift grids=@R@\\{x}.gtx'"
+#: Definitions and their algebra in SQL: layers that agree place by place go, the rest of the source is turned round.
+_SQL_PIPELINES = f"""with r as (select 'r' || n_nationkey as region, {"{geoid}"} as geoid from nation),
+d(name, steps) as (values ('ellipse', []::varchar[]), ('geoid', [{_G}]), ('navd88', [{_G}]), ('tss', [{_G}, {_T}]), ('mllw', [{_G}, {_T}, {_L('mllw')}]), ('noaa chart datum', [{_G}, {_T}, {_L('mllw')}]),
+  ('mhw', [{_G}, {_T}, {_L('mhw')}]), ('noaa chart height', [{_G}, {_T}, {_L('mhw')}]), ('mtl', [{_G}, {_T}, {_L('mtl')}]), ('dtl', [{_G}, {_T}, {_L('dtl')}]), ('lwrp2007', [{_G}, {_L('lwrp2007')}]), ('hrd', [{_G}, {_L('hrd')}])),
+p as (select a.name as source, b.name as target, [a.steps[i] for i in range(1, len(a.steps) + 1) if coalesce(a.steps[i] <> b.steps[i], true)] as back,
+  [b.steps[i] for i in range(1, len(b.steps) + 1) if coalesce(a.steps[i] <> b.steps[i], true)] as forth from d a, d b),
+t as (select source, target, case when source <> target then array_to_string(['+proj=pipeline'] || list_reverse([case when starts_with(x, '+inv ') then substr(x, 6) else '+inv ' || x end for x in back]) || forth, ' +step ') end as text from p)
+select source, target, region, replace(replace(text, '@R@', region), '@G@', geoid) as pipeline from t, r"""
 
 
-@_query(_sql_pipelines())
+@_query(_SQL_PIPELINES.replace("{geoid}", _SQL_GEOID))
 def pipeline_strings(spark, d):
     """Compiled on the driver per pair of datums with placeholders, filled in per region."""
     pairs = [(s, t, pipeline_text(s, t, "@R@", "@G@")) for s in DEFINITIONS for t in DEFINITIONS]
@@ -440,14 +451,12 @@ def wkt_remark_parse(spark, d):
     return rows.select("region", "m.vdatum", "m.version", F.size("m.regions").alias("regions"), F.get("m.regions", F.lit(1)).alias("second"), F.get("m.pipelines", F.lit(1)).alias("pipeline"), F.get("m.base_datum", F.lit(0)).alias("frame"))
 
 
-def _sql_vertcrs() -> str:
-    axis = {"ellipsoid height": "ellipsoid height (h)\",up", "gravity-related height": "gravity-related height (H)\",up", "depth": "depth (D)\",down"}
-    from .plans.datums import default_axis
+_SQL_VERTCRS = """select d as datum, 'VERTCRS["' || d || '",VDATUM["' || d || '"],CS[vertical,1],AXIS["' || a || ',LENGTHUNIT["metre",1],]' as wkt from
+  (select unnest(['ellipse']) as d, 'ellipsoid height (h)",up]' as a union all select unnest(['geoid', 'navd88', 'tss']), 'gravity-related height (H)",up]'
+   union all select unnest(['mllw', 'noaa chart datum', 'mhw', 'noaa chart height', 'mtl', 'dtl', 'lwrp2007', 'hrd']), 'depth (D)",down]')"""
 
-    return " union all ".join(f"""select '{n}' as datum, 'VERTCRS["{n}",VDATUM["{n}"],CS[vertical,1],AXIS["{axis[default_axis(n)]}],LENGTHUNIT["metre",1],]' as wkt""" for n in DEFINITIONS)
 
-
-@_query(_sql_vertcrs())
+@_query(_SQL_VERTCRS)
 def wkt_vertcrs_build(spark, d):
     return spark.createDataFrame([(n, crs.VerticalCrs(n).to_wkt()) for n in DEFINITIONS], "datum string, wkt string")
 
@@ -495,24 +504,28 @@ _QUERIES["lcc_forward"] = _projected(3631)
 _QUERIES["oblique_forward"] = lambda spark, d: fx.points(spark, d).select("pid", *[half_even(c, 2).alias(n) for c, n in zip(geodesy.PROJECTIONS[3468].forward(F.col("x") - 61.0, F.col("y") + 22.0), ("east", "north"))])
 
 
-def _sql_lcc() -> str:
-    import math
+_CM = "round_even(east * 100, 0) / 100 + 0::double as east, round_even(north * 100, 0) / 100 + 0::double as north"
+_SQL["utm_forward"] = f"with {fx.SQL_POINTS}, {geo.utm_forward_ctes('pts', -75)} select pid, {_CM} from utm"
+_SQL["lcc_forward"] = f"with {fx.SQL_POINTS}, {geo.lambert_ctes('pts', '33.75::double', '-79', '36::double + 10::double / 60', '34::double + 20::double / 60', '609601.22::double', '0::double')} select pid, {_CM} from lcc"
+_SQL["oblique_forward"] = f"with {fx.SQL_POINTS}, far as (select pid, x - 61 as x, y + 22 as y from pts), {geo.oblique_ctes('far')} select pid, {_CM} from om"
+
+
+def _inverse(epsg: int, dx: float = 0.0, dy: float = 0.0) -> Query:
+    def run(spark, d):
+        there = fx.points(spark, d).withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy})
+        east, north = geodesy.PROJECTIONS[epsg].forward(F.col("x"), F.col("y"))
+        moved = there.select("pid", "x", "y", F.struct(east.alias("e"), north.alias("n")).alias("m"))
+        lon, lat = geodesy.PROJECTIONS[epsg].inverse(F.col("m.e"), F.col("m.n"))
+        return moved.select("pid", half_even(lon, 7).alias("lon"), half_even(lat, 7).alias("lat"))
 
-    p = geodesy.PROJECTIONS[3631]
-    t = lambda x: geodesy._t(math.radians(x))
-    m = lambda x: math.cos(math.radians(x)) / math.sqrt(1 - geodesy.E2 * math.sin(math.radians(x)) ** 2)
-    n = (math.log(m(p.lat1)) - math.log(m(p.lat2))) / (math.log(t(p.lat1)) - math.log(t(p.lat2)))
-    f = m(p.lat1) / (n * t(p.lat1) ** n)
-    r0 = geodesy.A * f * t(p.lat0) ** n
-    return f"""with {fx.SQL_POINTS}, s as (select pid, radians(y) as phi, {n!r}::double * radians(x - (-79)::double) as theta, {geodesy.E1!r}::double * sin(radians(y)) as s from pts),
-r as (select pid, theta, {geodesy.A * f!r}::double * pow(tan({math.pi / 4!r}::double - phi / 2) / pow((1 - s) / (1 + s), {geodesy.E1 / 2!r}::double), {n!r}::double) as r from s)
-select pid, round_even(({p.east}::double + r * sin(theta)) * 100, 0) / 100 + 0::double as east, round_even(({p.north + r0!r}::double - r * cos(theta)) * 100, 0) / 100 + 0::double as north from r"""
+    return run
 
 
-_SQL["lcc_forward"] = _sql_lcc()
+for _n, _e, _dx, _dy in (("utm_inverse", 26918, 0, 0), ("lcc_inverse", 3631, 0, 0), ("oblique_inverse", 3468, -61, 22)):
+    _query(f"with {fx.SQL_POINTS} select pid, round_even((x + {_dx}) * 1e7::double, 0) / 1e7::double as lon, round_even((y + {_dy}) * 1e7::double, 0) / 1e7::double as lat from pts", _n)(_inverse(_e, _dx, _dy))
 
 
-@_query()
+@_query(f"with {fx.SQL_POINTS}, {geo.cartesian_ctes('pts', 'c', 'x', 'y', 'z')}, {geo.shift_ctes('c', 'm', 'ITRF2014')}, {geo.geographic_ctes('m', 'g', 'lon', 'lat', 'h')} select pid, round_even(h * 100, 0) / 100 + 0::double as h, true as returns from g")
 def helmert_shift(spark, d):
     """ITRF2014 to NAD83(2011), and back to where it was."""
     p = fx.points(spark, d)

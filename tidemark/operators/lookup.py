@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import bilinear, nearest, wrap
-from ..plans.catalog import GEOID_FRAMES
 from ..plans.transform import TransformPlan, cells_of, lattice_groups, most_overlap
 
 BROADCAST_BYTES = 64 << 20
@@ -85,8 +84,7 @@ def candidates(points: DataFrame, plan: TransformPlan, prefix: str, order: Calla
 
 
 def _frame(region, frames: list[str]) -> int:
-    frame = GEOID_FRAMES.get(region.geoid, "")
-    return frames.index(frame) if frame in frames else 0
+    return frames.index(region.geoid_frame()) if region.geoid_frame() in frames else 0
 
 
 def _own(df: DataFrame) -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy
 from ..functions.grid import half_even
-from ..plans.catalog import GEOID_FRAMES, Catalog
+from ..plans.catalog import Catalog
 from ..plans.transform import TransformPlan, plan
 from .lookup import by_region, private, separations, shifted
 
@@ -47,7 +47,7 @@ def transform_points(
     rounded = (lambda c: half_even(c, digits)) if digits is not None else (lambda c: c)
     made = ["z", "region_index", "region", *(["unc"] if uncertainty else [])]
     moves = source_crs is not None and target_crs != source_crs
-    frames = [] if source_crs is None else sorted({GEOID_FRAMES.get(r.geoid, geodesy.NAD83) for _, r in p.regions})
+    frames = [] if source_crs is None else sorted({r.geoid_frame() for _, r in p.regions})
     here, geo = points.withColumn(f"{prefix}z", z), lambda frame: f"{prefix}geo{frames.index(frame)}"
     for frame in () if p.identity else frames:
         here = geodesy.add_geographic(here, geo(frame), source_crs, F.col("x"), F.col("y"), F.col(f"{prefix}z"), frame, year)
@@ -61,7 +61,7 @@ def transform_points(
         found = separations(here, p, out=f"{prefix}f", places={f: (F.col(geo(f))["x"], F.col(geo(f))["y"]) for f in frames} or None)
         begin, home = F.col(f"{prefix}z"), ""
         if frames:
-            of = by_region({i: float(frames.index(GEOID_FRAMES.get(r.geoid, geodesy.NAD83))) for i, r in p.regions}, F.col(f"{prefix}f.ord"))
+            of = by_region({i: float(frames.index(r.geoid_frame())) for i, r in p.regions}, F.col(f"{prefix}f.ord"))
             begin = F.coalesce(*[F.when(of == k, F.col(geo(f))["h"]) for k, f in enumerate(frames)])
     covered = F.col(f"{prefix}f.ord").isNotNull()
     moved = begin if p.identity else shifted(begin, p, f"{prefix}f")
@@ -72,7 +72,7 @@ def transform_points(
         if p.identity:
             moved = moved + (rise if geodesy.frame_of(target_crs) != home else 0.0)
         else:  # a target in the geoid's frame already has its heights
-            of_target = {i: float(GEOID_FRAMES.get(r.geoid, geodesy.NAD83) == geodesy.frame_of(target_crs) and target_crs in geodesy.FRAMES) for i, r in p.regions}
+            of_target = {i: float(r.geoid_frame() == geodesy.frame_of(target_crs) and target_crs in geodesy.FRAMES) for i, r in p.regions}
             moved = moved + F.when(by_region(of_target, F.col(f"{prefix}f.ord")) == 1.0, 0.0).otherwise(rise)
     values = {"z": rounded(moved if p.up_out else -moved)}
     if uncertainty:

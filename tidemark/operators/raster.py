@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy
 from ..functions.grid import half_even
-from ..plans.catalog import GEOID_FRAMES, Catalog
+from ..plans.catalog import Catalog
 from ..plans.transform import TransformPlan, plan
 from .lookup import by_region, private, separations, total_shift
 
@@ -57,7 +57,7 @@ def _separations(cells: DataFrame, p: TransformPlan, raster: Raster, **options)
     prefix, (x, y) = private(cells.columns), raster.xy()
     if raster.epsg is None:
         return separations(cells, p, interp="nearest", out=f"{prefix}f", places={"": (x, y)}, **options), f"{prefix}f"
-    frames = sorted({GEOID_FRAMES.get(r.geoid, geodesy.NAD83) for _, r in p.regions})
+    frames = sorted({r.geoid_frame() for _, r in p.regions})
     here = cells
     for k, frame in enumerate(frames):
         here = geodesy.add_geographic(here, f"{prefix}geo{k}", raster.epsg, x, y, F.lit(0.0), frame)
@@ -88,12 +88,25 @@ def stacked(cells: DataFrame, p: TransformPlan, raster: Raster, counts: dict[int
     return found.select(*cells.columns, total_shift(p, f).alias("sep"), F.coalesce(F.col(f)["ord"], F.lit(-1)).alias("region_index"), F.col(f)["region"].alias("region"))
 
 
+def general_uncertainty(elev: Column, up: bool) -> Column:
+    """3 - 0.06 h where no separation is known, 3 above zero; h counts upwards."""
+    height = elev if up else -elev
+    return F.when(height > 0, 3.0).otherwise(3 - 0.06 * height)
+
+
+def outside_counts(stack: DataFrame, up: bool = True) -> DataFrame:
+    """missing, kept: of stacked cells (elev, unc, sep) those with an elevation that no region covers, and those of them whose own uncertainty outweighs the general one."""
+    missing = F.col("elev").isNotNull() & F.col("sep").isNull()
+    return stack.agg(F.count_if(missing).alias("missing"), F.count_if(missing & (F.col("unc") > general_uncertainty(F.col("elev"), up))).alias("kept"))
+
+
 def is_covered(stack: DataFrame) -> DataFrame:
     return stack.agg(F.coalesce(F.bool_and(F.col("sep").isNotNull()), F.lit(True)).alias("covered"), F.count_if(F.col("sep").isNull()).alias("missing"))
 
 
 def transform_raster(
-    cells: DataFrame, catalog: Catalog, source: str, target: str, raster: Raster, allow_outside: bool = False, uncertainty: bool = True, digits: int | None = None, **sigma_options,
+    cells: DataFrame, catalog: Catalog, source: str, target: str, raster: Raster, allow_outside: bool = False, uncertainty: bool = True, digits: int | None = None,
+    up: tuple[bool, bool] | None = None, **sigma_options,
 ) -> DataFrame:
     """row, col, elev, unc, contributor (as far as there), region_index in the target datum.
 
@@ -101,7 +114,7 @@ def transform_raster(
     allow_outside keep their elevation, turned to the target's direction, and get 3 - 0.06 h of uncertainty (3 above
     zero, h upwards), unless their own is larger. Elsewhere the region's uncertainty is added to their own.
     """
-    p = plan(catalog, source, target)
+    p = plan(catalog, source, target, up=up)
     own = masked(cells.select("row", "col", "elev", *[b for b in ("unc", "contributor") if b in cells.columns]), raster)
     if p.identity:
         stack, sigma = own.withColumns({"sep": F.lit(0.0), "region_index": F.lit(0)}), F.lit(0.0)
@@ -111,10 +124,9 @@ def transform_raster(
     flip = F.lit(1.0 if p.up_in == p.up_out else -1.0)
     elev, sep = F.col("elev"), F.col("sep")
     inside = flip * (elev + sep if p.up_in else elev - sep)
-    height = elev if p.up_in else -elev
     has_unc, has_contributor = "unc" in cells.columns, "contributor" in cells.columns
     source_unc = F.col("unc") if has_unc else F.lit(None).cast("double")
-    far = F.when(height > 0, 3.0).otherwise(3 - 0.06 * height)
+    far = general_uncertainty(elev, p.up_in)
     seen, covered = elev.isNotNull(), sep.isNotNull()
     drop = lambda inner, outer: F.when(seen & covered, inner).when(seen & F.lit(allow_outside), outer)
     bands = {"elev": drop(inside, flip * elev)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -58,6 +58,18 @@ class Region:
     geoid: str
     grids: dict[str, Lattice] = field(hash=False)
     bounds: tuple[float, float, float, float] | None = None
+    frame: str = ""
+
+    def box(self) -> tuple[float, float, float, float]:
+        """Its bounds, else those that its own grids, not the geoid's, reach together."""
+        if self.bounds:
+            return self.bounds
+        boxes = [g.bounds() for layer, g in self.grids.items() if layer != "geoid"] or [g.bounds() for g in self.grids.values()]
+        return min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
+
+    def geoid_frame(self) -> str:
+        """The frame its geoid is given in: its own setting, else the one known for the file, else NAD83(2011)."""
+        return self.frame or GEOID_FRAMES.get(self.geoid.replace("/", "\\"), "NAD83(2011)")
 
 
 @dataclass(frozen=True)
@@ -71,8 +83,15 @@ class Catalog:
     release: str = ""
 
     def within(self, x0: float, y0: float, x1: float, y1: float, strict: bool = False) -> Catalog:
-        """With the regions whose bounds meet a box. strict wants a box that has some area."""
+        """With the regions whose box meets one in degrees; longitudes count modulo 360. strict wants a box that has some area."""
         if strict and not (x0 < x1 and y0 < y1):
             raise AssertionError("bounds must rise")
-        meets = lambda b: b is None or (b[0] <= x1 and b[2] >= x0 and b[1] <= y1 and b[3] >= y0)
-        return Catalog(tuple(r for r in self.regions if meets(r.bounds)), self.grid_rows, self.sigma, self.sigma_geoid, self.release)
+
+        def meets(b: tuple[float, float, float, float]) -> bool:
+            return b[1] <= y1 and b[3] >= y0 and ((x0 - b[0]) % 360 <= b[2] - b[0] or (b[0] - x0) % 360 <= x1 - x0)
+
+        return self.only([r.name for r in self.regions if meets(r.box())])
+
+    def only(self, names) -> Catalog:
+        """With the regions of these names, in their order of precedence."""
+        return replace(self, regions=tuple(r for r in self.regions if r.name in set(names)))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import wkt
 from .catalog import FRAME_NAMES, FRAMES_3D, GEOID_FAMILIES, GEOID_FRAMES
 from .datums import DEFINITIONS, compile_steps, default_axis, guess_datum, pipeline_text
 
@@ -72,18 +73,38 @@ def derived_vertical(name: str, base: str, conversion: str, method: str, files:
 
 
 def wkt_quoted(text: str, key: str) -> str:
-    """What stands in quotes after key["."""
-    found = re.search(re.escape(key) + "\\[[\"']([^\"']*)[\"']", text)
-    if not found:
-        raise ValueError(f"no {key} in {text[:80]!r}")
-    return found[1]
+    """The first argument of the first node of a keyword."""
+    return wkt.parse(text).first(key).name()
 
 
 def wkt_parameter_files(text: str) -> list[tuple[str, ...]]:
     """source, identifier, path, description, date of each parameter file."""
-    inner = re.findall(r"PARAMETERFILE\[(.*?)\]\]", text)
-    parts = [[p.replace("ID[", "").strip(" \"'“”]") for p in x.split(",")] for x in inner]
-    return [(p[2], p[0], p[1], p[3], p[4]) for p in parts]
+    out = []
+    for node in wkt.parse(text).every("PARAMETERFILE"):
+        (identifier, path), (source, description, date) = ([a.strip() for a in n.args if isinstance(a, str)] for n in (node, node.first("ID")))
+        out.append((source, identifier, path, description, date))
+    return out
+
+
+@dataclass(frozen=True)
+class DerivedVertical:
+    """A vertical system derived from another by parameter files."""
+
+    name: str
+    base: str
+    conversion: str
+    method: str
+    files: tuple[tuple[str, ...], ...] = ()
+    axis: str = "height"
+    unit: str = "m"
+
+    def to_wkt(self) -> str:
+        return derived_vertical(self.name, self.base, self.conversion, self.method, list(self.files), self.axis, self.unit)
+
+    @classmethod
+    def from_wkt(cls, text: str) -> DerivedVertical:
+        one = lambda key: wkt_quoted(text, key)
+        return cls(one("VERTCRS"), one("BASEVERTCRS"), one("DERIVINGCONVERSION"), one("METHOD"), tuple(wkt_parameter_files(text)), one("AXIS"), one("LENGTHUNIT"))
 
 
 @dataclass(frozen=True)
@@ -99,10 +120,10 @@ class Remark:
         return f'REMARK["vdatum={self.vdatum or ""},{VERSION_KEY}={self.version or VERSION},base_datum={base},regions=[{",".join(self.regions)}],pipelines=[{";".join(self.pipelines)}]"]'
 
     @classmethod
-    def parse(cls, wkt: str) -> Remark:
-        if "REMARK[" not in wkt:
+    def parse(cls, text: str) -> Remark:
+        if "REMARK[" not in text:
             return cls()
-        text = wkt_quoted(wkt, "REMARK")
+        text = wkt_quoted(text, "REMARK")
         one = lambda k: m[1] if (m := re.search(k + "=([^,]*),", text)) else None
 
         def many(key: str, sep: str, needed: bool) -> tuple[str, ...]:
@@ -114,9 +135,9 @@ class Remark:
         return cls(many("regions", ",", True), many("pipelines", ";", True), one("vdatum"), m[1] if (m := re.search(_VERSION, text)) else None, many("base_datum", ",", False))
 
 
-def parse_remark(wkt: Column) -> Column:
+def parse_remark(crs: Column) -> Column:
     """The same per row: struct<regions, pipelines, vdatum, version, base_datum>."""
-    text = F.regexp_extract(wkt, 'REMARK\\["([^"]*)"', 1)
+    text = F.regexp_extract(crs, 'REMARK\\["([^"]*)"', 1)
     many = lambda key, sep: F.transform(F.split(F.regexp_extract(text, key + r"=\[(.*?)\](?:,|$)", 1), sep), lambda x: F.trim(x))
     one = lambda key: F.regexp_extract(text, key + "=([^,]*),", 1)
     return F.struct(many("regions", ",").alias("regions"), many("pipelines", ";").alias("pipelines"), one("vdatum").alias("vdatum"), F.regexp_extract(text, _VERSION, 1).alias("version"), many("base_datum", ",").alias("base_datum"))
@@ -153,8 +174,19 @@ class VerticalCrs:
         return f'VERTCRS["{self.name}",{vertical_datum(self.name)},{coordinate_system(self.axis_word, self.unit)},{self.remark.text() if self.remark.pipelines else ""}]'
 
     @classmethod
-    def from_wkt(cls, wkt: str) -> VerticalCrs:
-        return cls(wkt_quoted(wkt, "VERTCRS"), wkt_quoted(wkt, "AXIS"), wkt_quoted(wkt, "LENGTHUNIT"), Remark.parse(wkt))
+    def from_wkt(cls, text: str) -> VerticalCrs:
+        return cls(wkt_quoted(text, "VERTCRS"), wkt_quoted(text, "AXIS"), wkt_quoted(text, "LENGTHUNIT"), Remark.parse(text))
+
+    def pretty(self) -> str:
+        return wkt.pretty(self.to_wkt())
+
+    @property
+    def regions_text(self) -> str:
+        return f"[{','.join(self.remark.regions)}]"
+
+    @property
+    def pipelines_text(self) -> str:
+        return f"[{';'.join(self.remark.pipelines)}]"
 
     def compound(self, horizontal_wkt: str) -> str:
         name = horizontal_wkt.split('"')[1]

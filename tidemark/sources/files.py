@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,15 +66,65 @@ def release(spark: SparkSession, directory: str, releases: DataFrame | None = No
     return found[0]
 
 
-def load_catalog(spark: SparkSession, directory: str, geoids: dict[str, str], core: str = "core", release_id: str = "") -> Catalog:
-    """The regions of directory that geoids names, in order of name, each with the lattices of its grids and its geoid's.
+def external_sigmas(external: DataFrame) -> DataFrame:
+    """region, layer, sigma_m of the settings uncertainty_layer of external regions, as numbers; what is no number is null."""
+    each = external.select("region", F.explode("settings").alias("key", "value")).where(F.startswith("key", F.lit("uncertainty_")))
+    return each.select("region", F.substring_index("key", "_", -1).alias("layer"), F.col("value").try_cast("double").alias("sigma_m"))
 
-    A geoid path core\\family\\file is read as directory/core-family/file, flattened by the caller, or from the region's
-    own folder as geoid.gtx, which comes first.
-    """
+
+def external_catalog(spark: SparkSession, directory: str) -> Catalog:
+    """The external regions of a directory: those with a polygon file and a configuration that names frame and geoid."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gpkg,shp,kml}").load(f"{directory}/*/").select(F.regexp_extract("path", _TAIL, 1).alias("region"), F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("stem"))
+    drawn = {r["region"] for r in rows.where("region = stem").select("region").distinct().collect()}
+    known = external_regions(spark, directory).where(F.col("region").isin(sorted(drawn)))
+    settings = {r["region"]: (r["reference_geoid"], r["reference_frame"]) for r in known.collect()}
+    sigmas: dict[str, dict[str, float]] = {n: dict.fromkeys(SIGMA_LAYERS, 0.0) for n in settings}
+    for r in external_sigmas(known).collect():
+        sigmas[r["region"]][r["layer"]] = r["sigma_m"]
+    heads = _heads(spark, f"{directory}/*/")
+    regions = tuple(Region(n, g, heads.get(n, {}), frame=f) for n, (g, f) in sorted(settings.items()))
+    return Catalog(regions, gtx.read_rows(spark, f"{directory}/*/").where(F.col("region").isin(sorted(settings))), sigmas)
+
+
+def _heads(spark: SparkSession, pattern: str) -> dict[str, dict[str, Lattice]]:
     heads: dict[str, dict[str, Lattice]] = {}
-    for r in gtx.read_lattices(spark, directory).collect():
+    for r in gtx.read_lattices(spark, pattern).collect():
         heads.setdefault(r["region"], {})[r["layer"]] = Lattice(r["lat0"], r["lon0"], r["dlat"], r["dlon"], r["rows"], r["cols"])
+    return heads
+
+
+def _with_geoids(spark: SparkSession, directory: str, catalog: Catalog) -> Catalog:
+    """Regions without a geoid grid of their own get the file that their geoid's path names below directory, as far as it is there."""
+    wanted = sorted({r.geoid for r in catalog.regions if "geoid" not in r.grids})
+    if not wanted:
+        return catalog
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", GRIDS).option("recursiveFileLookup", True).load(directory).select("path")
+    by_path = {g: g.replace("\\", "/") for g in wanted}
+    names = F.array(*[F.lit(p) for p in by_path.values()])
+    found = {r["tail"]: r["path"] for r in listed.select("path", F.get(F.filter(names, lambda n: F.endswith(F.col("path"), F.concat(F.lit("/"), n))), F.lit(0)).alias("tail")).where("tail is not null").collect()}
+    heads, rows = {}, []
+    for geoid, tail in by_path.items():
+        if tail in found:
+            one = next(iter(gtx.read_lattices(spark, found[tail]).collect()))
+            heads[geoid] = Lattice(one["lat0"], one["lon0"], one["dlat"], one["dlon"], one["rows"], one["cols"])
+            users = [r.name for r in catalog.regions if r.geoid == geoid and "geoid" not in r.grids]
+            own = gtx.read_rows(spark, found[tail]).withColumn("region", F.explode(F.array(*[F.lit(u) for u in users]))).withColumn("layer", F.lit("geoid"))
+            rows.append(own.select("region", "layer", "row", "vals"))
+    regions = tuple(replace(r, grids={**r.grids, "geoid": heads[r.geoid]}) if "geoid" not in r.grids and r.geoid in heads else r for r in catalog.regions)
+    grid_rows = catalog.grid_rows
+    for own in rows:
+        grid_rows = grid_rows.unionByName(own)
+    return replace(catalog, regions=regions, grid_rows=grid_rows)
+
+
+def load_catalog(spark: SparkSession, directory: str, geoids: dict[str, str], release_id: str = "", external: tuple[str, ...] = ()) -> Catalog:
+    """The regions of directory that geoids names, in order of name, then those of external directories, which replace regions of their name.
+
+    A region's grids are directory/region/layer.gtx or .tif, its geoid's the file that geoids names, core\\family\\file, below
+    directory, unless its own folder has a geoid grid. Uncertainties come from the sigma files, those of external regions
+    from their configurations. A directory that is not there is an error.
+    """
+    heads = _heads(spark, f"{directory}/*/")
     regions = tuple(Region(n, geoids[n], g) for n, g in sorted(heads.items()) if n in geoids)
     names = spark.createDataFrame([(r.name,) for r in regions], "region string")
     table = {r.name: dict.fromkeys(SIGMA_LAYERS, 0.0) for r in regions}
@@ -80,7 +132,32 @@ def load_catalog(spark: SparkSession, directory: str, geoids: dict[str, str], co
     for r in ops.sole_sigma(ops.sigma_by_region(lines, names)).collect():
         table[r["region"]][r["layer"]] = r["sigma_m"]
     families = {r["layer"]: r["sigma_m"] for r in lines.where("region = 'conus'").collect()}
-    return Catalog(regions, gtx.read_rows(spark, directory), table, families, release_id)
+    whole = Catalog(regions, gtx.read_rows(spark, f"{directory}/*/"), table, families, release_id)
+    for other in external:
+        added = external_catalog(spark, other)
+        new = {r.name for r in added.regions}
+        kept = whole.grid_rows.where(~F.col("region").isin(sorted(new))).unionByName(added.grid_rows)
+        whole = replace(whole, regions=tuple(r for r in whole.regions if r.name not in new) + added.regions, grid_rows=kept, sigma=whole.sigma | added.sigma)
+    return _with_geoids(spark, directory, whole)
+
+
+def without_external(catalog: Catalog, external: Catalog) -> Catalog:
+    """catalog without the regions, grids and uncertainties that an external one brought."""
+    gone = {r.name for r in external.regions}
+    return replace(
+        catalog, regions=tuple(r for r in catalog.regions if r.name not in gone), sigma={k: v for k, v in catalog.sigma.items() if k not in gone}, grid_rows=catalog.grid_rows.where(~F.col("region").isin(sorted(gone)))
+    )
+
+
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file from the driver, in whatever store path is; for small files."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
 
 
 def parse_reply(replies: DataFrame) -> DataFrame:
