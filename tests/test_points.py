@@ -9,7 +9,8 @@ from tidemark.operators import lookup
 from tidemark.operators.points import bin_of, edges, transform_points, transform_sampled
 from tidemark.operators.raster import Raster, band_roles, stacked, transform_raster, valid_counts
 from tidemark.plans.catalog import Catalog, Lattice, Region
-from tidemark.plans.transform import most_overlap, output_sigma, plan
+from tidemark.plans.transform import cells_of, most_overlap, output_sigma, plan
+from tidemark.session import Request
 
 
 def world(spark, regions=6, same=True):
@@ -113,6 +114,76 @@ def test_sampling(spark):
     assert near[3]["z"] is None and near[3]["region_index"] == -1
     for k in (1, 2):
         assert near[k]["z"] is None or abs(near[k]["z"] - whole[k]["z"]) < 0.2
+    fine = {r["pid"]: r for r in transform_sampled(pts, cat, "ellipse", "geoid", 0.0005).collect()}
+    slope = max(abs(float(a)) for a in np.nan_to_num(np.concatenate([np.diff(rows_of(cat, 0), axis=0).ravel() / 0.25, np.diff(rows_of(cat, 0), axis=1).ravel() / 0.2])))
+    for k in (1, 2):  # within what the surface can rise over half a bin, and rounding
+        assert fine[k]["z"] is None or abs(fine[k]["z"] - whole[k]["z"]) <= slope * 0.0012 + 0.001
+    assert transform_sampled(pts.where("pid = 3"), cat, "ellipse", "geoid", 0.002).collect()[0]["region_index"] == -1
+    assert transform_sampled(pts.where("false"), cat, "ellipse", "geoid", 0.002).count() == 0
+
+
+def rows_of(cat, n):
+    found = sorted((r["row"], r["vals"]) for r in cat.grid_rows.where(f"region = 'r{n}' and layer = 'geoid'").collect())
+    return np.array([[np.nan if v is None else v for v in vals] for _, vals in found])
+
+
+def test_columns_of_any_name_stay(spark):
+    cat, _ = world(spark)
+    rows = [(*r, "a", "b", "c", "d", 7.0, "e") for r in cloud(60)]
+    names = "pid long, x double, y double, z double, ord string, geoid string, _tm_held string, `a.b` string, unc double, region string"
+    moved = transform_points(spark.createDataFrame(rows, names), cat, "ellipse", "mllw")
+    assert moved.columns == ["pid", "x", "y", "ord", "geoid", "_tm_held", "a.b", "unc", "z", "region_index", "region"]
+    plain = transform_points(spark.createDataFrame(cloud(60), "pid long, x double, y double, z double"), cat, "ellipse", "mllw")
+    assert sorted(map(str, moved.select("pid", "z", "region").collect())) == sorted(map(str, plain.select("pid", "z", "region").collect()))
+    assert {(r["ord"], r["_tm_held"], r["a.b"], r["unc"]) for r in moved.collect()} == {("a", "c", "d", 7.0)}
+
+
+def test_many_regions_over_one_place(spark):
+    lattice = Lattice(10.0, 200.0, 0.5, 0.5, 3, 3)
+    regions = tuple(Region(f"r{n}", "core\\geoid12b\\g2012bu0.gtx", {"geoid": lattice}) for n in range(300))
+    rows = [(f"r{n}", "geoid", i, [float(n) if n < 3 else None] * 3) for n in range(12) for i in range(3)]
+    cat = Catalog(regions[:12], spark.createDataFrame(rows, "region string, layer string, row int, vals array<double>"))
+    got = transform_points(spark.createDataFrame([(200.5, 10.5, 5.0)] * 2, "x double, y double, z double"), cat, "ellipse", "geoid").collect()
+    assert [(r["z"], r["region_index"]) for r in got] == [(3.0, 2)] * 2
+    step, cells = cells_of([(0, 0, 359.9, 80)] * 300)
+    assert step > 1 and all(len(v) == 300 for v in cells.values()) and len(Catalog(regions, cat.grid_rows).within(200.2, 10.2, 200.3, 10.3).regions) == 300
+
+
+def test_place_systems_and_heights(spark):
+    """The published places: metres within 0.1, also where the way leads through another frame than the points'."""
+    from test_geodesy import GOLDENS
+
+    lattice = Lattice(20.0, 215.0, 1.0, 1.0, 50, 80)
+    for geoid, frame in (("core\\geoid12b\\g2012bu0.gtx", "NAD83(2011)"), ("core\\xgeoid17b\\AK_17B.gtx", "ITRF2008")):
+        cat = Catalog((Region("r", geoid, {"geoid": lattice}),), spark.createDataFrame([("r", "geoid", i, [2.0] * 80) for i in range(50)], "region string, layer string, row int, vals array<double>"))
+        for epsg, lon, lat, east, north in GOLDENS:
+            there = transform_points(spark.createDataFrame([(lon, lat, 10.0)], "x double, y double, z double"), cat, "ellipse", "geoid", source_crs=6318, target_crs=epsg).first()
+            assert abs(there["x"] - east) < 0.1 and abs(there["y"] - north) < 0.1 and (frame != "NAD83(2011)" or there["z"] == 8.0)
+            back = transform_points(spark.createDataFrame([(east, north, 10.0)], "x double, y double, z double"), cat, "ellipse", "geoid", source_crs=epsg, target_crs=6318).first()
+            assert abs(back["x"] - lon) < 1e-6 and abs(back["y"] - lat) < 1e-6
+    same = transform_points(spark.createDataFrame([(-75.7, 35.4, 1.0), (0.0, 35.4, 1.0)], "x double, y double, z double"), cat, "geoid", "geoid", source_crs=7912, target_crs=6318).collect()
+    assert 0.3 < abs(same[0]["z"] - 1.0) < 4
+    gone = transform_points(spark.createDataFrame([(0.0, 35.4, 1.0)], "x double, y double, z double"), cat, "ellipse", "geoid", source_crs=6318, target_crs=26918).first()
+    assert (gone["x"], gone["z"], gone["region_index"]) == (None, None, -1)
+    with pytest.raises(NotImplementedError):
+        transform_points(spark.createDataFrame([(0.0, 0.0, 0.0)], "x double, y double, z double"), cat, "ellipse", "geoid", source_crs=1)
+
+
+def test_requests(spark):
+    cat, _ = world(spark, 2)
+    request = Request(cat).set_input((6318, "ellipse")).set_output("mllw")
+    df = spark.createDataFrame(cloud(40), "pid long, x double, y double, z double")
+    plain = transform_points(df, cat, "ellipse", "mllw", uncertainty=True)
+    assert sorted(map(str, request.transform(df, uncertainty=True).collect())) == sorted(map(str, plain.collect()))
+    assert [r.name for r in request.set_region_by_points(spark.createDataFrame([(-160.1, 9.9), (-159.9, 10.1)], "x double, y double")).catalog.regions] == ["r0"]
+    assert request.set_input(26905).source.horizontal == 26905 and request.target.horizontal == 6318
+    for bad in (Request(cat).set_input(6318), request.set_region_by_points(df.where("false")), Request(cat).set_input((6318, "ellipse"))):
+        with pytest.raises(ValueError):
+            bad.transform(df)
+    with pytest.raises(AssertionError):
+        request.set_region_by_bounds(1, 1, 1, 2, strict=True)
+    observed = request.counted(plain)
+    assert observed.count() == 40
 
 
 def test_raster_relations(spark):

@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +86,101 @@ def test_geotiff_round_trip(spark, tmp_path):
         geotiff.read_cells(spark, str(tmp_path / "bad.tif")).collect()
 
 
+def _chunked(bands, order, tile, code, predictor, apart):
+    """A TIFF with blocks, of what an encoder of its own makes."""
+    n, (rows, cols), kind = len(bands), bands[0].shape, bands[0].dtype.newbyteorder(order)
+    tall, wide = tile or (2, cols)
+    blocks = []
+    for group in [[b] for b in bands] if apart else [bands]:
+        for y in range(0, rows, tall):
+            for x in range(0, cols, wide):
+                part = np.zeros((tall if tile else min(tall, rows - y), wide, len(group)), kind)
+                for s, b in enumerate(group):
+                    piece = b[y : y + tall, x : x + wide]
+                    part[: piece.shape[0], : piece.shape[1], s] = piece
+                if predictor == 2:
+                    part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1).astype(kind)
+                raw = part.tobytes()
+                if predictor == 3:
+                    planes = part.astype(kind.newbyteorder(">")).view(np.uint8).reshape(part.shape[0], wide * len(group), kind.itemsize).transpose(0, 2, 1).reshape(part.shape[0], -1, len(group))
+                    raw = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], axis=1).astype(np.uint8).tobytes()
+                blocks.append({1: bytes, 8: zlib.compress, 5: _lzw_codes, 32773: lambda r: b"".join(bytes([len(r[i : i + 100]) - 1]) + r[i : i + 100] for i in range(0, len(r), 100)) + b"\x80"}[code](raw))
+    fmt = {"u": 1, "i": 2, "f": 3}[kind.kind]
+    tags = {256: ("I", [cols]), 257: ("I", [rows]), 258: ("H", [kind.itemsize * 8] * n), 259: ("H", [code]), 277: ("H", [n]), 284: ("H", [2 if apart else 1]), 317: ("H", [predictor]), 339: ("H", [fmt] * n), 33550: ("d", [2.0, 2.0, 0.0]), 33922: ("d", [0.0, 0, 0, 10, 50, 0])}
+    tags |= {322: ("I", [wide]), 323: ("I", [tall]), 324: ("I", [0] * len(blocks)), 325: ("I", [len(b) for b in blocks])} if tile else {278: ("I", [tall]), 273: ("I", [0] * len(blocks)), 279: ("I", [len(b) for b in blocks])}
+    codes = {"H": 3, "I": 4, "d": 12}
+    begin = 8 + 2 + 12 * len(tags) + 4
+    size = sum(len(struct.pack(f"{order}{len(v)}{k}", *v)) for k, v in tags.values())
+    at, starts = begin + size, []
+    for b in blocks:
+        starts.append(at)
+        at += len(b)
+    tags[324 if tile else 273] = ("I", starts)
+    head, extra = struct.pack(order + "H", len(tags)), b""
+    for tag, (k, v) in sorted(tags.items()):
+        body = struct.pack(f"{order}{len(v)}{k}", *v)
+        head += struct.pack(order + "HHI", tag, codes[k], len(v)) + (body.ljust(4, b"\0") if len(body) <= 4 else struct.pack(order + "I", begin + len(extra)))
+        extra += body if len(body) > 4 else b""
+    mark = b"II*\0" if order == "<" else b"MM\0*"
+    return (mark + struct.pack(order + "I", 8) + head + b"\0\0\0\0" + extra).ljust(begin + size, b"\0") + b"".join(blocks)
+
+
+def _lzw_codes(raw):
+    bits, table, width, word = "", {bytes([i]): i for i in range(256)}, 9, b""
+    bits += format(256, "09b")
+    for c in raw:
+        c = bytes([c])
+        if word + c in table:
+            word += c
+            continue
+        bits += format(table[word], f"0{width}b")
+        table[word + c] = len(table) + 2
+        if len(table) + 2 == 4094:
+            bits += format(256, f"0{width}b")
+            table, width = {bytes([i]): i for i in range(256)}, 9
+        else:
+            width = (len(table) + 2).bit_length()
+        word = c
+    if word:
+        bits += format(table[word], f"0{width}b")
+    bits += format(257, f"0{width}b")
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+@pytest.mark.parametrize("code", [1, 5, 8, 32773])
+@pytest.mark.parametrize("apart", [True, False])
+def test_geotiff_in_most_forms(order, tile, code, apart):
+    rnd = np.random.default_rng(1)
+    for kind, predictor in (("f4", 1), ("f4", 3), ("f8", 3), ("i2", 2), ("u1", 2), ("i4", 1)):
+        bands = [np.round(rnd.uniform(-90 if kind[0] != "u" else 0, 90, (21, 37))).astype(kind) for _ in range(2)]
+        found, names, gt, nodata = geotiff.decode(_chunked(bands, order, tile, code, predictor, apart))
+        assert all(np.array_equal(a, b) for a, b in zip(bands, found)) and names == ["band 1", "band 2"] and gt == (10.0, 2.0, 0.0, 50.0, 0.0, -2.0) and nodata is None
+
+
+def test_one_file_for_all_cells(spark, tmp_path):
+    raster = Raster((10.0, 2.0, 0.0, 50.0, 0.0, -2.0), 9, 4, {"elev": -9999.0, "unc": -9999.0})
+    cells = spark.createDataFrame([(r, c, r + c / 8, 0.5) for r in range(9) for c in range(4) if r not in (2, 3, 8)], "row int, col int, elev double, unc double")
+    path = geotiff.save_single(cells, raster, ["elev", "unc"], ["Elevation", "Uncertainty"], str(tmp_path / "a.tif"), rows_per_strip=2)
+    bands, names, gt, nodata = geotiff.decode((tmp_path / "a.tif").read_bytes())
+    assert names == ["Elevation", "Uncertainty"] and gt == raster.geotransform and nodata == -9999.0 and path.endswith("a.tif")
+    assert bands[0].shape == (9, 4) and bands[0][7, 2] == 7.25 and bands[1][7, 2] == 0.5 and (bands[0][[2, 3, 8]] == -9999).all() and (bands[1][:2] == 0.5).all()
+
+
+def test_external_regions_replace_and_go(spark, grids):
+    geoids = {"NCcoast11": "core\\geoid12b\\g2012bu0.gtx", "NCinner11": "core\\geoid12b\\g2012bu0.gtx"}
+    import pathlib
+
+    (pathlib.Path(grids) / "NCinner11" / "NCinner11.kml").write_text("<kml/>")
+    base = files.load_catalog(spark, grids, {"NCcoast11": geoids["NCcoast11"]})
+    both = files.load_catalog(spark, grids, geoids, external=(grids,))
+    assert [r.name for r in both.regions] == ["NCcoast11", "NCinner11"] and both.sigma["NCinner11"]["tss"] == 0.0
+    ext = files.external_catalog(spark, grids)
+    assert [r.name for r in ext.regions] == ["NCinner11"] and ext.regions[0].geoid_frame() == "NAD83(2011)"
+    assert [r.name for r in files.without_external(both, ext).regions] == [r.name for r in base.regions]
+
+
 def test_csv_and_stream(spark, grids, tmp_path):
     cat = files.load_catalog(spark, grids, {"NCcoast11": "core\\geoid12b\\g2012bu0.gtx"})
     pts = spark.createDataFrame([(1, -75.7, 35.2, 10.0), (2, -70.0, 35.2, 1.0)], "pid long, x double, y double, z double")

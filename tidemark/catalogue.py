@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import fixtures as fx
 from . import geodesy_sql as geo
@@ -14,10 +18,14 @@ from .functions.grid import half_even, wrap
 from .operators import catalog_ops as ops
 from .operators import points as pts
 from .operators import raster as ras
-from .plans import crs
-from .plans.catalog import GEOID_FRAMES
+from .plans import crs, settings, wkt
+from .plans.catalog import GEOID_FRAMES, Catalog, Lattice, Region
 from .plans.datums import DEFINITIONS, pipeline_text
 from .plans.transform import output_sigma, plan
+from .session import Request
+from .shared import shared_dir
+from .sources import files, geotiff, gtx
+from .sources.text import write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -167,6 +175,73 @@ def points_sampled(spark, d):
     return pts.transform_sampled(fx.points(spark, d), fx.catalog(spark, d), "ellipse", "geoid", _SAMPLE).select("pid", "z", "region_index")
 
 
+@_query(_sql_points("ellipse", "mllw", tail="from (select * from pts union all select * from pts) p left join pick b on p.pid = b.pid").replace(fx.SQL_REGIONS, fx.SQL_DENSE))
+def points_dense_overlap(spark, d):
+    """All regions overlap, and every point is there twice."""
+    p = fx.points(spark, d)
+    twice = p.unionByName(p).withColumn("ord", F.lit("x"))
+    return pts.transform_points(twice, fx.catalog(spark, d, corner=fx.dense_corner), "ellipse", "mllw").select("pid", "z", "region_index")
+
+
+@_query(_sql_points("ellipse", "mllw").replace("value as z from events", "case when event_id % 5 <> 0 then value else 0::double end as z from events"))
+def points_missing_z(spark, d):
+    p = fx.points(spark, d).withColumn("z", F.when(F.col("pid") % 5 != 0, F.col("z")))
+    return pts.transform_points(p, fx.catalog(spark, d), "ellipse", "mllw").select("pid", "z", "region_index")
+
+
+@_query(_sql_points("ellipse", "mllw", "p.pid, b.pid is null as lost, coalesce({z}, 0) as z"))
+def points_nan(spark, d):
+    """Points that no region covers are not a number in x, y and z."""
+    moved = pts.transform_points(fx.points(spark, d), fx.catalog(spark, d), "ellipse", "mllw", nan=True)
+    return moved.select("pid", (F.isnan("x") & F.isnan("y") & F.isnan("z")).alias("lost"), F.nanvl("z", F.lit(0.0)).alias("z"))
+
+
+@_query(
+    f"with {fx.SQL_METRIC}, {geo.utm_inverse_ctes('met', -75)}, "
+    + _sql_shift("ellipse", "mllw", "pts as (select * from geo)", lon="lon", lat="lat")[0]
+    + f" select p.pid, p.x, p.y, {_sql_shift('ellipse', 'mllw')[2]} as z, coalesce(b.ord, -1) as region_index from pts p left join pick b on p.pid = b.pid"
+)
+def points_utm_to_mllw(spark, d):
+    """Metres in, metres out: the grids are met in degrees."""
+    return pts.transform_points(fx.metric_points(spark, d), fx.catalog(spark, d, geoid=fx.GEOIDS[0]), "ellipse", "mllw", source_crs=26918).select("pid", "x", "y", "z", "region_index")
+
+
+@_query(
+    f"with {fx.SQL_POINTS}, {geo.utm_forward_ctes('pts', -75)}, "
+    + _sql_shift("ellipse", "mllw", "raw as (select 1)")[0]
+    + f" select p.pid, round_even(u.east * 1000, 0) / 1000 + 0::double as x, round_even(u.north * 1000, 0) / 1000 + 0::double as y, {_sql_shift('ellipse', 'mllw')[2]} as z from utm u join pts p on u.pid = p.pid join pick b on p.pid = b.pid"
+)
+def points_nad83_to_utm(spark, d):
+    """Degrees in, metres out, for the points that are covered."""
+    moved = pts.transform_points(fx.points(spark, d), fx.catalog(spark, d, geoid=fx.GEOIDS[0]), "ellipse", "mllw", source_crs=6318, target_crs=26918)
+    return moved.where("region_index >= 0").select("pid", half_even(F.col("x"), 3).alias("x"), half_even(F.col("y"), 3).alias("y"), "z")
+
+
+_BY_FRAME = lambda a, b, c: f"(case when n_regionkey < 2 then {a} when n_regionkey < 4 then {b} else {c} end)"
+
+
+@_query(
+    f"with {fx.SQL_POINTS.replace('pts as', 'ev as')}, {geo.cartesian_ctes('ev', 'c', 'x', 'y', 'z')}, {geo.shift_ctes('c', 'm', 'ITRF2014')}, {geo.geographic_ctes('m', 'g', 'lon83', 'lat83', 'h83')}, "
+    + f"{geo.cartesian_ctes('g', 'c2', 'lon83', 'lat83', 'h83')}, {geo.shift_ctes('c2', 'm2', 'ITRF2008', True)}, {geo.geographic_ctes('m2', 'g2', 'lon08', 'lat08', 'h08')}, "
+    + _sql_shift("ellipse", "mllw", "pts as (select * from g2)", lon=_BY_FRAME("lon83", "lon08", "x"), lat=_BY_FRAME("lat83", "lat08", "y"), z=_BY_FRAME("h83", "h08 + (h83 - z)", "z + (h83 - z)"))[0]
+    + f" select p.pid, round_even(p.lon83 * 1e7::double, 0) / 1e7::double as x, round_even(p.lat83 * 1e7::double, 0) / 1e7::double as y, {_sql_shift('ellipse', 'mllw')[2]} as z, b.ord as region_index from pts p join pick b on p.pid = b.pid"
+)
+def points_itrf_to_nad83(spark, d):
+    """From ITRF2014 to NAD83(2011) over regions whose geoids are in three frames: each is met in its own."""
+    moved = pts.transform_points(fx.points(spark, d), fx.catalog(spark, d), "ellipse", "mllw", source_crs=7912, target_crs=6318).where("region_index >= 0")
+    return moved.select("pid", half_even(F.col("x"), 7).alias("x"), half_even(F.col("y"), 7).alias("y"), "z", "region_index")
+
+
+@_query(
+    f"with {fx.SQL_METRIC}, box as (select 0 as k, min(x) as x, min(y) as y from met union all select 1, max(x), max(y) from met), {geo.utm_inverse_ctes('box', -75)} "
+    "select round_even(min(lon) * 1e7::double, 0) / 1e7::double as x_min, round_even(min(lat) * 1e7::double, 0) / 1e7::double as y_min, round_even(max(lon) * 1e7::double, 0) / 1e7::double as x_max, round_even(max(lat) * 1e7::double, 0) / 1e7::double as y_max from geo"
+)
+def extents_geographic(spark, d):
+    """By two corners of the metric box."""
+    box = pts.geographic_extents(fx.metric_points(spark, d), 26918)
+    return box.select(*[half_even(F.col(c), 7).alias(c) for c in box.columns])
+
+
 @_query(f"with {fx.SQL_POINTS} select min(x) as x_min, min(y) as y_min, max(x) as x_max, max(y) as y_max from pts")
 def extents(spark, d):
     return pts.extents(fx.points(spark, d), nan_safe=False)
@@ -254,6 +329,111 @@ def band_roles(spark, d):
     return spark.createDataFrame([(n, *(r.get(k, -1) for k in ("elevation", "uncertainty", "contributor"))) for n, r in found], "names string, elevation int, uncertainty int, contributor int")
 
 
+@_query(f"with {fx.SQL_CELLS} select -76::double as x_min, 35::double as y_min, -76::double + 150 * 0.013::double as x_max, 37::double as y_max, count(*) as cells, count(elev) as seen from cells")
+def raster_extents(spark, d):
+    raster = fx.raster()
+    x0, y0, x1, y1 = raster.bounds()
+    seen = ras.masked(fx.cells(spark, d), raster).agg(F.count(F.lit(1)).alias("cells"), F.count("elev").alias("seen"))
+    return seen.select(F.lit(x0).alias("x_min"), F.lit(y0).alias("y_min"), F.lit(x1).alias("x_max"), F.lit(y1).alias("y_max"), "cells", "seen")
+
+
+@_query(f"with {_SQL_SEP} select count(*) filter (elev is not null and sep is null) as missing, count(*) filter (elev is not null and sep is null and unc > case when elev > 0 then 3::double else 3::double - 0.06::double * elev end) as kept from one")
+def raster_outside_counts(spark, d):
+    return ras.outside_counts(ras.stacked(ras.masked(fx.cells(spark, d), fx.raster()), _plan(spark, d), fx.raster()))
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+@_query(f"with {fx.SQL_CELLS}, one as (select row, col, any_value(elev) as elev, any_value(contributor) as contributor from cells where row < 300 group by 1, 2) select row, col, elev::float::double as elev, contributor from one where elev is not null")
+def geotiff_round_trip(spark, d):
+    """Cells of the first 300 rows to GeoTIFF files written by tasks, and back; bands that are not there are dropped."""
+    raster = replace(fx.raster(), rows=300)
+    cells = ras.masked(fx.cells(spark, d, unc=False), raster).where("row < 300").dropDuplicates(["row", "col"])
+    path = _scratch(spark, "tiff")
+    files.write_file(spark, f"{path}/.keep", b"")
+    geotiff.save_tiles(geotiff.to_tiles(cells, raster, ["elev", "contributor"], ["Elevation", "Contributor"]), path)
+    back = geotiff.read_cells(spark, path)
+    row = F.round((raster.geotransform[3] - F.col("y")) / -raster.geotransform[5] - 0.5).cast("int")
+    elev = F.get("values", F.lit(0))
+    return back.select(row.alias("row"), "col", elev.alias("elev"), F.get("values", F.lit(1)).alias("contributor")).where(~F.isnan("elev"))
+
+
+@_query(f"with {fx.SQL_POINTS} select x::varchar || ' ' || y::varchar || ' ' || pid::varchar as line from pts")
+def csv_export(spark, d):
+    """One line for each point, without a header; columns that are not there are left out."""
+    path = _scratch(spark, "csv")
+    p = fx.points(spark, d)
+    write_csv(p.select("x", "y", F.col("pid").alias("z")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@_query("select 'r' || n_nationkey as region, -180::double + n_nationkey as lon0, ((n_nationkey * 2 + 3) % 7)::double as first, ((n_nationkey * 2 + 2) % 7)::double as last from nation")
+def grid_signed_longitude(spark, d):
+    """Grids of four columns from 178 degrees: the two from 180 on come first afterwards."""
+    n = F.col("n_nationkey")
+    rows = fx.table(spark, d, "nation").select(F.concat(F.lit("r"), n).alias("region"), n, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: ((n * 2 + j + 1) % 7).cast("double")).alias("vals"))
+    turned, lattice = gtx.to_signed_longitude(rows, Lattice(0.0, 178.0, 1.0, 1.0, 1, 4))
+    return turned.select("region", (F.lit(lattice.lon0) + n).alias("lon0"), F.get("vals", F.lit(0)).alias("first"), F.get("vals", F.lit(3)).alias("last"))
+
+
+# A directory of grid files ------------------------------------------------------------------------------------------
+
+_SQL_DIR = f"""{fx.SQL_POINTS}, {fx.SQL_DIRECTORY},
+use as (select * from dreg where n in (0, 1, 6)),
+cand as (select *, (y - y0) * 16 as fi, (x - x0) * 16 as fj, (y - 34.5::double) * 4 as gi, (x + 76.5::double) * 4 as gj from pts join use on y >= y0 and y <= y0 + 0.625::double and x >= x0 and x <= x0 + 0.625::double),
+cell as (select *, least(floor(fi), 9)::bigint as i, least(floor(fj), 9)::bigint as j, least(floor(gi), 11)::bigint as a, least(floor(gj), 11)::bigint as b from cand),
+frac as (select *, fi - i as t, fj - j as u, gi - a as p, gj - b as q from cell)"""
+
+
+def _sql_dir_values() -> str:
+    node = lambda k, i, j: f"(case when (({i}) * 11 + ({j}) + n) % 37 = 0 then null else ((n * 31 + {k} * 17 + ({i}) * 7 + ({j}) * 3) % 64) / 64::double end)"
+    grid = lambda k: " + ".join(f"{w} * {node(k, f'i + {di}', f'j + {dj}')}" for w, di, dj in (("(1 - u) * (1 - t)", 0, 0), ("u * (1 - t)", 0, 1), ("(1 - u) * t", 1, 0), ("u * t", 1, 1)))
+    geoid = " + ".join(f"{w} * (((a + {di}) * 7 + (b + {dj}) * 3) % 64) / 64::double" for w, di, dj in (("(1 - q) * (1 - p)", 0, 0), ("q * (1 - p)", 0, 1), ("(1 - q) * p", 1, 0), ("q * p", 1, 1)))
+    return f"""{_SQL_DIR}, found as (select pid, n, region, z - ({geoid}) + ({grid(0)}) - ({grid(1)}) as zz from frac),
+pick as (select *, row_number() over (partition by pid order by n desc) as rn from found where zz is not null)"""
+
+
+def _directory(spark, d) -> tuple[str, str]:
+    return fx.write_directory(spark, fx.table(spark, d, "nation").count())
+
+
+@_query(f"""with {_sql_dir_values()} select p.pid, round_even(-(zz) * 1000::double, 0) / 1000::double + 0::double as z, k.region,
+  case when n = 6 then ((0::double + 0.05::double) + 0.25::double) + 0.5::double else ((0::double + 0.05::double) + (n + 1.5::double) * 0.01::double) + 2::double * 0.01::double end as unc
+  from pts p left join pick k on p.pid = k.pid and k.rn = 1""")
+def directory_to_result(spark, d):
+    """A directory of GTX and GeoTIFF grids with a geoid of their own, sigmas, polygons, a release and an external directory; its regions by the points' extents; heights to chart datum."""
+    base, other = _directory(spark, d)
+    cat = files.load_catalog(spark, base, dict.fromkeys(fx.DIR_REGIONS, fx.DIR_GEOID), files.release(spark, base), external=(other,))
+    outlines = files.polygons(spark, other)
+    request = Request(cat, files.polygons(spark, base).unionByName(outlines), outlines).set_input((6318, "ellipse")).set_output("mllw")
+    request = request.set_region_by_bounds(-76.0, 35.0, -74.3, 35.4)  # three regions lie north of it, one polygon has no valid name
+    return request.transform(fx.points(spark, d), uncertainty=True).select("pid", "z", "region", "unc")
+
+
+@_query(f"""with {fx.SQL_DIRECTORY} select 'grid' as kind, region || '/' || layer || case when n % 2 = 1 then '.tif' else '.gtx' end as item, case when n % 2 = 1 then null else 40 + 4 * 121 end::bigint as n from dreg, (values ('tss'), ('mllw')) as l(layer) where n < 6
+  union all select 'polygon', region, 5 from dreg union all select 'sigma', region, 2 from dreg where n < 6
+  union all values ('release', '{fx.RELEASE}', 1::bigint), ('external', 'EXT1', 2), ('by digest', 'b', 1), ('bounds', 'R0inner', 1)""")
+def directory_listings(spark, d):
+    """What a directory holds: grids with their lengths, polygons with their corners, sigmas, the release by file and by digests, external regions."""
+    base, other = _directory(spark, d)
+    row = lambda kind, item, n: (F.lit(kind).alias("kind"), item.alias("item"), n.cast("long").alias("n"))
+    listed = files.grid_listing(spark, base)
+    out = listed.select(*row("grid", F.col("file"), F.when(F.endswith("file", F.lit(".gtx")), F.col("length"))))
+    both = files.polygons(spark, base).unionByName(files.polygons(spark, other))
+    out = out.unionByName(both.select(*row("polygon", F.col("region"), F.size("ring"))))
+    found = ops.sigma_by_region(files.sigma(spark, base), listed.select("region").distinct())
+    out = out.unionByName(found.groupBy("region").agg(F.count(F.lit(1)).alias("c")).select(*row("sigma", F.col("region"), F.col("c"))))
+    digests = files.grid_digests(spark, base)
+    known = digests.select(F.lit("a").alias("release"), "file", F.reverse("md5").alias("md5")).unionByName(digests.select(F.lit("b").alias("release"), "file", "md5"))
+    ext = files.external_regions(spark, other)
+    cat = files.load_catalog(spark, base, dict.fromkeys(fx.DIR_REGIONS, fx.DIR_GEOID))
+    few = [("release", files.release(spark, base), 1), ("by digest", ops.release_match(digests, known).first()["release"], 1), ("bounds", *[r.name for r in cat.within(-76.0, 35.0, -75.99, 35.01).regions], 1)]
+    out = out.unionByName(files.external_sigmas(ext).groupBy("region").agg(F.count(F.lit(1)).alias("c")).select(*row("external", F.col("region"), F.col("c"))))
+    return out.unionByName(spark.createDataFrame(few, "kind string, item string, n long"))
+
+
 # Catalogue ----------------------------------------------------------------------------------------------------------
 
 _BOX = (-75.3, 35.3, -74.9, 35.9)
@@ -437,10 +617,9 @@ g as (select p_partkey, text, list_filter({_DATUMS}, lambda x: contains(lower(te
 select p_partkey, len(found) as n, case when len(found) = 1 then found[1] when len(found) = 0 then '' end as datum from g""")
 def datum_guess(spark, d):
     """Per row; the driver's guess_datum() fails where n is over 1."""
-    names = F.array(*map(F.lit, DEFINITIONS))
-    text = F.concat("p_name", F.lit(" "), F.get(F.concat(names, F.array(F.lit("Mean"), F.lit("water"))), (F.col("p_partkey") % 14).cast("int")))
-    found = F.filter(names, lambda x: F.contains(F.lower(text), x))
-    return fx.table(spark, d, "part").select("p_partkey", F.size(found).cast("long").alias("n"), F.when(F.size(found) == 1, F.get(found, F.lit(0))).when(F.size(found) == 0, "").alias("datum"))
+    names = F.array(*map(F.lit, [*DEFINITIONS, "Mean", "water"]))
+    text = F.concat("p_name", F.lit(" "), F.get(names, (F.col("p_partkey") % 14).cast("int")))
+    return ops.guess_datums(fx.table(spark, d, "part").select("p_partkey", text.alias("text"))).drop("text")
 
 
 @_query("""select 'r' || n_nationkey as region, 'rel' || n_regionkey as vdatum, 'v1' as version, 2 as regions, ['r' || n_nationkey, 's' || n_nationkey][2] as second, 'q ' || n_nationkey as pipeline, 'NAD83(2011)' as frame from nation""")
@@ -461,15 +640,117 @@ def wkt_vertcrs_build(spark, d):
     return spark.createDataFrame([(n, crs.VerticalCrs(n).to_wkt()) for n in DEFINITIONS], "datum string, wkt string")
 
 
+_G12, _A17 = "core\\geoid12b\\g2012bu0.gtx", "core\\xgeoid17b\\AK_17B.gtx"
+_DERIVED = (
+    'VERTCRS["Chart",BASEVERTCRS["NAD83(2011) Height",VDATUM["NAD83(2011) Height"],ID["EPSG",6319]],DERIVINGCONVERSION["up to chart",METHOD["gtx grid transformation", ID["EPSG",1084]],'
+    'PARAMETERFILE["g", "core\\g.gtx", ID["maker", "first", "1/2/2012"]],PARAMETERFILE["t", "r\\t.gtx", ID["maker", "second", "3/4/2013"]]],VDATUM["Chart"],CS[vertical,1],AXIS["ellipsoid height (h)",up],LENGTHUNIT["metre",1]]'
+)
+
+
+def _text_cases(spark, d) -> list[tuple[str, str]]:
+    """name, text of what the driver's operators on systems and settings say."""
+    geoids = {"A": _G12, "B": _G12, "K": _A17}
+
+    def error(f) -> str:
+        try:
+            return str(f())
+        except Exception as e:
+            return type(e).__name__
+
+    pair = crs.CrsPair(geoids, "rel")
+    tss, chart = (crs.VerticalCrs(n).with_pipeline("p", "A") for n in ("tss", "noaa chart datum"))
+    derived = crs.DerivedVertical("Chart", "NAD83(2011) Height", "up to chart", "gtx grid transformation", (("maker", "g", "core\\g.gtx", "first", "1/2/2012"), ("maker", "t", "r\\t.gtx", "second", "3/4/2013")), "ellipsoid height (h)", "metre")
+    lattice = Lattice(0.0, 0.0, 1.0, 1.0, 2, 2)
+    cat = Catalog((Region("A", _G12, {"geoid": lattice}), Region("K", _A17, {"geoid": lattice})), None, {"A": {"tss": 0.25}}, {"geoid12b": 0.5, "xgeoid17b": 0.125})
+    path = f"{tempfile.mkdtemp()}/own.config"
+    settings.write_setting(path, "grids_path", "/g")
+    settings.write_setting(path, "other_path", "/o")
+    log = settings.run_log(path, f"{path}.log")
+    log.warning("noted")
+    return [
+        ("known datum", error(lambda: plan(cat, "ellipse", "nowhere"))),
+        ("between systems", crs.transformation_pipeline(tss, chart, "A", _G12)),
+        ("region not in either", error(lambda: crs.transformation_pipeline(tss, chart, "Z", _G12))),
+        ("bound regions", pair.set((26918, "mllw"), ["A", "B"]).vertical.regions_text),
+        ("bound pipelines", pair.set((26918, "tss"), ["A"]).vertical.pipelines_text),
+        ("geoid by family", pair.set((26918, "geoid"), ["A", "B"]).vertical.name),
+        ("mixed geoids", error(lambda: pair.set((26918, "geoid"), ["A", "K"]))),
+        ("three dimensions", str((pair.set(6319).horizontal, pair.set(6319).with_regions(["A"]).datum))),
+        ("system by code", str((pair.set(5866).vertical.name, pair.set(5866).vertical.axis))),
+        ("not whole", str(pair.set("mllw").is_valid)),
+        ("parameter file", crs.parameter_file("maker", "g", "core\\g.gtx", "first", "1/2/2012")),
+        ("conversion", crs.deriving_conversion("a to b", "asc file", [])),
+        ("base", crs.base_vertical("WGS84 Height")),
+        ("derived", derived.to_wkt()),
+        ("derived read", str(crs.DerivedVertical.from_wkt(_DERIVED) == derived)),
+        ("parameter files", "; ".join(",".join(f) for f in crs.wkt_parameter_files(_DERIVED))),
+        ("remark", crs.Remark(("A",), ("p",), "rel", "v", ("NAD83(2011)",)).text()),
+        ("axis", crs.coordinate_system("Depth")),
+        ("compound", str([wkt.is_compound(t) for t in ('COMPOUNDCRS["c",PROJCRS["p"],VERTCRS["v"]]', 'COMPOUNDCRS["c",VERTCRS["v"],PROJCRS["p"]]', 'VERTCRS["v"]')])),
+        ("pretty", wkt.pretty('VERTCRS["v, AXIS[",VDATUM["v",ID["E",1]],CS[vertical,1]]')),
+        ("metadata", crs.datum_wkt("ellipse", 26914, {})),
+        ("actual geoid sigma", str([output_sigma(cat, "ellipse", "tss", r, geoid_sigma="actual", missing="zero") for r in ("A", "K")])),
+        ("missing sigma", error(lambda: output_sigma(cat, "ellipse", "mllw", "K"))),
+        ("rising bounds", error(lambda: cat.within(1, 1, 0, 2, strict=True))),
+        ("no region", error(lambda: plan(cat.only([]), "ellipse", "geoid"))),
+        ("settings", str(settings.read_settings(path))),
+        ("setting removed", str(settings.write_setting(path, "other_path", None))),
+        ("log", open(f"{path}.log").read().split(" - ")[-1].strip()),
+        ("release date", str((settings.release_date(fx.RELEASE), settings.release_date("x")))),
+    ]
+
+
+_EXPECTED = [
+    ("known datum", "ValueError"), ("between systems", "+proj=pipeline +step +proj=vgridshift grids=A\\mllw.gtx"), ("region not in either", "NotImplementedError"), ("bound regions", "[A,B]"),
+    ("bound pipelines", "[+proj=pipeline +step +proj=vgridshift grids=core\\geoid12b\\g2012bu0.gtx +step +inv +proj=vgridshift grids=A\\tss.gtx]"), ("geoid by family", "geoid12b"), ("mixed geoids", "NotImplementedError"),
+    ("three dimensions", "(6318, 'ellipse')"), ("system by code", "('mllw', 'depth')"), ("not whole", "False"), ("parameter file", 'PARAMETERFILE["g", "core\\g.gtx", ID["maker", "first", "1/2/2012"]]'),
+    ("conversion", 'DERIVINGCONVERSION["a to b",METHOD["asc file", ID["EPSG",1085]]]'), ("base", 'BASEVERTCRS["WGS84 Height",VDATUM["WGS84 Height"],ID["EPSG",4979]]'), ("derived", _DERIVED), ("derived read", "True"),
+    ("parameter files", "maker,g,core\\g.gtx,first,1/2/2012; maker,t,r\\t.gtx,second,3/4/2013"), ("remark", 'REMARK["vdatum=rel,library=v,base_datum=[NAD83(2011)],regions=[A],pipelines=[p]"]'),
+    ("axis", 'CS[vertical,1],AXIS["depth (D)",down],LENGTHUNIT["metre",1]'), ("compound", "[True, False, False]"), ("pretty", 'VERTCRS["v, AXIS[",\n  VDATUM["v",\n    ID["E",1]],\n  CS[vertical,1]]'),
+    ("metadata", 'VERTCRS["ellipse",VDATUM["NAD83 / UTM zone 14N + ellipse"],CS[vertical,1],AXIS["ellipsoid height (h)",up,LENGTHUNIT["metre",1]]]'), ("actual geoid sigma", "[0.75, 0.125]"), ("missing sigma", "KeyError"),
+    ("rising bounds", "AssertionError"), ("no region", "ValueError"), ("settings", "{'grids_path': '/g', 'other_path': '/o'}"), ("setting removed", "{'grids_path': '/g'}"), ("log", "noted"), ("release date", "('2020-12-03', None)"),
+]
+
+
+@_query("select * from (values " + ", ".join("('" + a + "', '" + b.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for a, b in _EXPECTED) + ") as t(name, text)")
+def driver_texts(spark, d):
+    """The driver's side: datums, systems, settings and log, against texts written out."""
+    return spark.createDataFrame(_text_cases(spark, d), "name string, text string")
+
+
+@_query("select r_regionkey as k, case when r_regionkey % 3 = 0 then 6318 when r_regionkey % 3 = 1 then 9000 else 26918 end as horizontal, case when r_regionkey % 3 < 2 then 'ellipse' end as datum from region")
+def three_dimensional_systems(spark, d):
+    codes = F.get(F.array(F.lit(6319), F.lit(7912), F.lit(26918)), (F.col("r_regionkey") % 3).cast("int"))
+    rows = fx.table(spark, d, "region").select("r_regionkey", codes.alias("epsg"))
+    return rows.join(ops.reduced_3d(rows.select("epsg").distinct()), "epsg").select(F.col("r_regionkey").alias("k"), "horizontal", "datum")
+
+
+@_query(f"with {_SQL_FILES} select 'u' as release, 'r' || n || '/' || layer || ext as file from files where false")
+def digest_table_order(spark, d):
+    """No entry of a sorted table stands before one of a lower name."""
+    rows = _files(spark, d).select(F.lit("u").alias("release"), "file")
+    return ops.unsorted_keys(rows.withColumn("place", F.row_number().over(Window.orderBy("file"))))
+
+
+@_query("select 'r' || n_nationkey as grid, case when n_nationkey % 3 = 0 then '/b' else '/a' end as found from nation")
+def grid_last_directory(spark, d):
+    places = _regions(spark, d).withColumnRenamed("region", "grid")
+    third = F.expr("cast(substring(grid, 2) as int) % 3 = 0")
+    return ops.last_found(places.select("grid", F.lit(0).alias("place"), F.lit("/a").alias("path")).unionByName(places.where(third).select("grid", F.lit(1).alias("place"), F.lit("/b").alias("path"))))
+
+
 @_query("select 'f' || r_regionkey as source, k as key, case k when 'frame' then 'NAD83(2011)' when 'layer' then r_name else '0.' || r_regionkey end as value from region, (values ('frame'), ('layer'), ('unc')) as t(k)")
 def ini_flatten(spark, d):
     text = F.concat(F.lit("[a]\nFrame = NAD83(2011)\nunc: 9\n\n; note\n[b]\nlayer="), "r_name", F.lit("\nunc = 0."), "r_regionkey", F.lit("\n"))
     return ops.flat_ini(fx.table(spark, d, "region").select(F.concat(F.lit("f"), "r_regionkey").alias("source"), text.alias("text")))
 
 
-@_query("select event_id as pid, cast(json_extract(props, '$.k') as bigint) as k from events")
+@_query("select (event_id % 360)::double as tar_lon, case when event_id % 7 <> 0 then (event_id % 90) / 2::double end as tar_lat, value as tar_height from events")
 def json_response(spark, d):
-    return fx.table(spark, d, "events").select(F.col("event_id").alias("pid"), F.from_json("props", "k long")["k"].alias("k"))
+    """Replies of the point service; a field that is no number is null."""
+    lat = F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 90 / 2).cast("string")).otherwise("n/a")
+    reply = F.to_json(F.struct((F.col("event_id") % 360).cast("string").alias("tar_lon"), lat.alias("tar_lat"), F.col("value").cast("string").alias("tar_height"), F.lit("x").alias("other")))
+    return files.parse_reply(fx.table(spark, d, "events").select(reply.alias("reply")))
 
 
 # Numbers ------------------------------------------------------------------------------------------------------------
@@ -485,10 +766,8 @@ select pid, case when i between 0 and 10 and j between 0 and 10 then {fx.sql_nod
 def cell_lookup_truncate(spark, d):
     """The node at the truncated index, of one grid; nothing beside it."""
     x0, y0 = fx.corner(12)
-    i, j = ((F.col("y") - y0) / fx.SPACING).cast("bigint"), ((F.col("x") - x0) / fx.SPACING).cast("bigint")
-    rows = fx.grid_rows(spark, d).where("region = 'r12' and layer = 'tss'").select(F.col("row").cast("bigint").alias("i"), "vals")
-    found = fx.points(spark, d).withColumns({"i": i, "j": j}).join(F.broadcast(rows), "i", "left")
-    return found.select("pid", F.get("vals", F.col("j").cast("int")).alias("value"))
+    rows = fx.grid_rows(spark, d).where("region = 'r12' and layer = 'tss'")
+    return ops.cell_values(fx.points(spark, d), rows, Lattice(y0, x0, fx.SPACING, fx.SPACING, fx.NODES, fx.NODES)).select("pid", "value")
 
 
 def _projected(epsg: int) -> Query:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..plans.catalog import FRAMES_3D, GEOID_FAMILIES, GEOID_FRAMES
+from ..plans.catalog import FRAMES_3D, GEOID_FAMILIES, GEOID_FRAMES, Lattice
+from ..plans.datums import DEFINITIONS
 
 EXTENSIONS = [".tiff", ".tif", ".gtx"]
 VALID = "valid-transform"
@@ -101,7 +103,8 @@ def parse_sigma(lines: DataFrame) -> DataFrame:
 def sigma_by_region(sigma: DataFrame, regions: DataFrame) -> DataFrame:
     """entry, region, layer, sigma_m, matches: the regions whose lower-cased name starts with the entry's; an entry should match one."""
     rows = sigma.where("region <> 'conus'").select(F.col("region").alias("entry"), "layer", "sigma_m")
-    found = rows.join(F.broadcast(regions.select("region")), F.startswith(F.lower("region"), F.col("entry")))
+    starts = F.transform(F.sequence(F.lit(0), F.length("region")), lambda n: F.lower(F.substring(F.col("region"), F.lit(1), n)))
+    found = rows.join(regions.select("region", F.explode(starts).alias("entry")), "entry")
     counts = found.groupBy("entry", "layer").agg(F.count_distinct("region").alias("matches"))
     return found.join(counts, ["entry", "layer"]).select("entry", "region", "layer", "sigma_m", "matches")
 
@@ -137,11 +140,11 @@ def grid_exists(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def release_match(installed: DataFrame, releases: DataFrame) -> DataFrame:
-    """release: those whose files and digests are exactly the installed ones."""
-    mine = installed.select("file", F.col("md5").alias("own"))
-    every = releases.select("release").distinct().crossJoin(F.broadcast(mine))
-    both = releases.join(every, ["release", "file"], "full_outer")
-    return both.groupBy("release").agg(F.count_if(~F.col("md5").eqNullSafe(F.col("own"))).alias("wrong")).where("wrong = 0").select("release")
+    """release: those whose files and digests are exactly the installed ones: as many of each, and all of them equal."""
+    mine = installed.groupBy("file").agg(F.max("md5").alias("own"))
+    total = mine.agg(F.count(F.lit(1)).alias("installed"))
+    both = releases.join(mine, "file", "left").groupBy("release").agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.col("md5") == F.col("own")).alias("equal"))
+    return both.join(F.broadcast(total), (F.col("listed") == F.col("installed")) & (F.col("equal") == F.col("installed"))).select("release")
 
 
 def release_diff(releases: DataFrame, old: str, new: str) -> DataFrame:
@@ -173,3 +176,31 @@ def reduced_3d(codes: DataFrame) -> DataFrame:
     """epsg, horizontal, datum: 3-D geographic systems as their 2-D part and the ellipsoid; others as they are."""
     table = F.create_map(*[F.lit(v) for kv in FRAMES_3D.items() for v in kv])
     return codes.select("epsg", F.coalesce(table[F.col("epsg")], F.col("epsg")).alias("horizontal"), F.when(table[F.col("epsg")].isNotNull(), "ellipse").alias("datum"))
+
+
+def guess_datums(texts: DataFrame, column: str = "text") -> DataFrame:
+    """texts with n, the number of known datums whose name is in a text, and datum, that one's name; empty for none, null for several."""
+    found = F.filter(F.array(*map(F.lit, DEFINITIONS)), lambda name: F.contains(F.lower(column), name))
+    n = F.size(found).cast("long")
+    return texts.withColumns({"n": n, "datum": F.when(n == 1, F.get(found, F.lit(0))).when(n == 0, "")})
+
+
+def cell_values(points: DataFrame, grid_rows: DataFrame, lattice: Lattice, add_360: bool = False) -> DataFrame:
+    """points (x, y) with value, of one grid's node at the truncated index; null beside the grid. add_360 turns x by a whole turn first."""
+    x = F.col("x") + 360.0 if add_360 else F.col("x")
+    i, j = ((F.col("y") - lattice.lat0) / lattice.dlat).cast("bigint"), ((x - lattice.lon0) / lattice.dlon).cast("bigint")
+    rows = grid_rows.select(F.col("row").cast("bigint").alias("_i"), F.col("vals").alias("_vals"))
+    small = F.broadcast if lattice.node_bytes() <= 64 << 20 else (lambda t: t)
+    found = points.join(small(rows), i == F.col("_i"), "left")
+    return found.select(*[points[c] for c in points.columns], F.get("_vals", j.cast("int")).alias("value"))
+
+
+def unsorted_keys(releases: DataFrame) -> DataFrame:
+    """release, file: entries of digest tables that stand before an entry of a lower name; place is where each stands."""
+    ahead = F.lead("file").over(Window.partitionBy("release").orderBy("place"))
+    return releases.withColumn("_next", ahead).where(F.col("_next") < F.col("file")).select("release", "file")
+
+
+def last_found(places: DataFrame) -> DataFrame:
+    """grid, found: of the directories (place, path) that have a grid the last, as surfaces look it up; points take the first."""
+    return places.groupBy("grid").agg(F.max_by("path", "place").alias("found"))

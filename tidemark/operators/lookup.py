@@ -19,8 +19,8 @@ from ..functions.grid import bilinear, nearest, wrap
 from ..plans.transform import TransformPlan, cells_of, lattice_groups, most_overlap
 
 BROADCAST_BYTES = 64 << 20
-#: After this many places what they found is merged, so that rows stay narrow where many regions overlap.
-MOST_UNROLLED = 8
+#: After this many places what they found is merged, so that rows and generated code stay narrow where many regions overlap.
+MOST_UNROLLED = 4
 #: Degrees that a place may differ by from frame to frame (some metres).
 FRAME_SHIFT = 1e-4
 _LATTICE = "struct<lat:double,lon:double,dlat:double,dlon:double,rows:int,cols:int>"
@@ -150,15 +150,18 @@ def separations(
         df, found = looked_up(df, F.col(f"{prefix}one"), [])
         return df.select(*mine, found.alias(out))
     best: list[Column] = []
-    for k in range(most):
-        keep = [F.col(f"{prefix}held"), *best]
-        df, found = looked_up(df, F.get(f"{prefix}held", F.lit(k)), keep)
-        df = df.select(*own, *keep, valid(found).alias(f"{prefix}b{k}"))
-        best.append(F.col(f"{prefix}b{k}"))
-        if len(best) > MOST_UNROLLED:
-            df = df.select(*own, f"{prefix}held", F.coalesce(*best).alias(f"{prefix}b{k}"))
-            best = [F.col(f"{prefix}b{k}")]
-    return df.select(*mine, (F.coalesce(*best) if len(best) > 1 else best[0]).alias(out))
+    for begin in range(0, most, MOST_UNROLLED):
+        for k in range(min(MOST_UNROLLED, most - begin)):
+            keep = [F.col(f"{prefix}held"), *best]
+            df, found = looked_up(df, F.get(f"{prefix}held", F.lit(k)), keep)
+            df = df.select(*own, *keep, valid(found).alias(f"{prefix}b{k}"))
+            best.append(F.col(f"{prefix}b{k}"))
+        merged = F.coalesce(*best) if len(best) > 1 else best[0]
+        if begin + MOST_UNROLLED < most:  # go on with the places that are left; the filter also ends a stage of generated code
+            left = F.filter(f"{prefix}held", lambda c, i: i >= MOST_UNROLLED)
+            df = df.select(*own, left.alias(f"{prefix}held"), merged.alias(f"{prefix}best"))
+            best = [F.col(f"{prefix}best")]
+    return df.select(*mine, (merged if most else F.lit(None)).alias(out))
 
 
 def shifted(z: Column, plan: TransformPlan, found: str = "found") -> Column:
