@@ -34,14 +34,17 @@ def test_unseen_words_fall_back_to_the_longest_known_piece():
     assert (m.unseen("a?") == m.gram_logs[m.grams["a"]]).all() and not m.unseen("??").any()
 
 
-def test_frequent_takes_whole_bins(spark):
+def test_frequent_takes_the_most_frequent_and_a_share_of_equal_ones(spark):
     df = spark.createDataFrame([(str(i), n) for i, n in enumerate([100, 50, 50, 7, 7, 7, 1, 1])], "word string, n long")
-    assert {r["n"] for r in frequent(df, 5).collect()} == {100, 50} and frequent(df, 8).count() == 8 and frequent(df, 0).count() == 0
+    assert {r["n"] for r in frequent(df, 3, "word").collect()} == {100, 50} and frequent(df, 8, "word").count() == 8 and frequent(df, 0, "word").count() == 0
+    equal = spark.range(3000).selectExpr("cast(id as string) as word", "if(id = 0, 9L, 2L) as n")
+    got = frequent(equal, 2000, "word")
+    assert 1600 < got.count() <= 2000 and got.where("n = 9").count() == 1
 
 
 def test_words_and_pieces_beyond_the_held_ones_count(spark, monkeypatch):
     df = spark.createDataFrame(corpus() + [(9001, None, "xx", "s"), (9002, "12", "yy", "s")], "doc_id long, text string, lang string, score string")
     want = sorted((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in language.language_id(df).collect())
     for most in (0, 40):
-        monkeypatch.setattr(language, "frequent", lambda counts, _: frequent(counts, most))  # noqa: B023
+        monkeypatch.setattr(language, "frequent", lambda counts, _, key: frequent(counts, most, key))  # noqa: B023
         assert sorted((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in language.language_id(df).collect()) == want

@@ -30,5 +30,7 @@ def test_mix_on_odd_rows(spark):
 def test_schedule_is_followed(spark):
     df = spark.createDataFrame([(i, "w", "a" if i % 2 else "b") for i in range(2000)], "doc_id long, text string, source string")
     order = mixing.training_order(mixing.mix(df, weights=[1.0], schedules=lambda i: [(0, 1 - i), (0.5, 0.5), (1, i)])).collect()
-    early = [r["source"] for r in order if r["at"] < 0.25]
-    assert abs(early.count("a") / len(early) - 0.75) < 0.03
+    for end in (0.25, 0.5, 1.0):
+        early = [r["source"] for r in order if r["at"] < end]
+        share = 1 - end / 2  # of the integral of 1 - t in that of 1 - t and t
+        assert abs(early.count("a") / len(early) - share) < 0.03

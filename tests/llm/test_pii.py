@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tidemark.llm import pii
 
@@ -32,7 +33,7 @@ def texts():
     rnd = random.Random(5)
     bits = ["a@b.com", "_x@y.org", "x@@y.z", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "0255.000.1.001", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (988) 555-2485", "+1", "+", "é", "😀", " ", ".", "-", "12", "0", "x", "\n", "@", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "ssn "]
     made = ["".join(rnd.choices(bits, k=rnd.randint(1, 14))) for _ in range(400)]
-    return [None, "", *made, "x" * 300_000 + "@", "1 " * 60_000, "1" * 120_000, "+1" + "(" * 100_000, "a@b.c " * 3000]
+    return [None, "", *made, "x" * 300_000 + "@", "1 " * 60_000, "1" * 120_000, "+1" + "(" * 100_000, "a@b.c " * 16_000, "1.2.3.4 " * 3000, "x" * 700 + "a@b.c" + "é" * 90_000 + "@"]
 
 
 def test_base_spans_equal_brute_force(spark):
@@ -51,5 +52,23 @@ def test_added_kinds_and_context(spark):
     assert pii.mask_pii(df).where("doc_id = 3").first()["text"] == "ssn <ssn>"
 
 
+def test_time_follows_the_matches(spark):
+    took = {}
+    for n in (8000, 8000, 32_000):
+        df = spark.createDataFrame([(1, "ab@c.de " * n)], "doc_id long, text string")
+        begin = time.time()
+        assert pii.digest(pii.find_pii(df)).first()["n_email"] == n
+        took[n] = time.time() - begin
+    assert took[32_000] < 8 * took[8000] + 2
+
+
+def test_context_counts_on_both_sides_and_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "123-45-6789 is my social number", 1), (2, None, 2), (3, "a@b.co, 123-45-6789", 3)], "doc_id long, text string, spans__cut0 int")
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find_pii(df).collect()}
+    assert found == {1: ["ssn"], 2: [], 3: ["email"]}
+    masked = {r["doc_id"]: (r["text"], r["spans__cut0"]) for r in pii.mask_pii(df).collect()}
+    assert masked == {1: ("<ssn> is my social number", 1), 2: (None, 2), 3: ("<email>, 123-45-6789", 3)}
+
+
 def test_empty_table(spark):
     assert pii.digest(pii.find_pii(spark.createDataFrame([], "doc_id long, text string, kind string"))).count() == 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_pass, materialize, partitions
+from .common import arrow_pass, hot_from, join_hot, materialize, partitions
 
 TRAINED = "assistant"
 _CONTROL = re.compile(r"([\\<>])")
@@ -54,7 +54,7 @@ _TURNS = "conv_id long, depth int, node binary, parent binary, position long, se
 
 
 def _chain(batches):
-    """Turns of conversations that come sorted; the last of each has its path, 8 bytes a turn."""
+    """Turns of conversations that come sorted; the last of each has its path, all its nodes."""
     names = [x.split()[0] for x in _TURNS.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
     conv, node, depth, position, path, begun = None, None, 0, 0, bytearray(), False
@@ -74,7 +74,7 @@ def _chain(batches):
                 out = out[-1:]
             formatted, a, b = segment(role, text)
             parent, node = node, hashlib.blake2b((node or b"") + formatted.encode(), digest_size=16).digest()
-            path += node[:8]
+            path += node
             trained = role == TRAINED
             out.append([own, depth, node, parent, position, formatted, a if trained else 0, b if trained else 0, None])
             depth, position = depth + 1, position + len(formatted)
@@ -118,7 +118,8 @@ def prefix_tree(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     ranked = materialize(ranked, "paths")
     walked = turns.drop("path").join(ranked, F.col("conv_id").eqNullSafe(F.col("first_id"))).drop("conv_id", "first_id")
     own = F.struct("rank", "depth", "parent", "position", "segment", "loss_from", "loss_to")
-    nodes = walked.groupBy("node").agg(F.min(own).alias("own")).select("node", "own.*")
+    walked = materialize(walked, "walked")
+    nodes = walked.groupBy("node").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("paths")).select("node", "own.*", "paths")
     nodes = nodes.repartitionByRange(partitions(spark), "rank", "depth").withColumn("part", F.spark_partition_id()).withColumn("size", F.length("segment").cast("long"))
     nodes = materialize(nodes, "nodes")
     done, before = 0, []
@@ -129,7 +130,7 @@ def prefix_tree(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     inside = Window.partitionBy("part").orderBy("rank", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = nodes.join(offsets, "part").withColumn("end", F.col("before") + F.sum("size").over(inside)).withColumn("start", F.col("end") - F.col("size"))
     placed = materialize(placed.drop("part", "before", "size"), "placed")
-    steps = walked.select("rank", "depth", "node").join(placed.select("node", "start", "end", F.col("rank").alias("owner")), "node")
+    steps = join_hot(walked.select("rank", "depth", "node"), placed.select("node", "start", "end", F.col("rank").alias("owner"), "paths"), ["node"], "paths")
     steps = steps.select("rank", "depth", "node", "start", "end", (F.col("owner") == F.col("rank")).alias("mine"))
     steps = steps.repartition(partitions(spark), "rank").sortWithinPartitions("rank", "depth").drop("depth")
     above = arrow_pass(steps, _ancestors, "node binary, ancestors array<struct<start:long,end:long>>")
@@ -174,7 +175,10 @@ def _read_back(batches):
 
 def read_back(nodes: DataFrame, turns: DataFrame) -> DataFrame:
     """One row per conversation, from the tree: what its segments hold and what of them is trained on."""
-    found = turns.join(nodes.select("node", "segment", "loss_from", "loss_to"), "node")
+    rows = turns.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    hot = rows.where(F.col("rows") > hot_from(turns.count()))
+    known = nodes.select("node", "segment", "loss_from", "loss_to").join(F.broadcast(hot), "node", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    found = join_hot(turns, known, ["node"], "rows", turns.count())
     dealt = found.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "depth")
     return arrow_pass(dealt.select("conv_id", "segment", "loss_from", "loss_to"), _read_back, _READ)
 

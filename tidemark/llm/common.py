@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,21 +10,29 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Executors need no copy of this package: its functions travel with the plan.
-cloudpickle.register_pickle_by_value(sys.modules["tidemark"])
+from ..shared import shared_dir
 
 #: The white space of all word rules here: space, tab, LF, VT, FF, CR.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+class Sent:
+    """A broadcast of something made of this package's classes; they travel with it, so workers need no copy of the package."""
+
+    def __init__(self, broadcast):
+        self._broadcast = broadcast
+
+    @property
+    def value(self):
+        held = self._broadcast
+        if "opened" not in held.__dict__:  # a worker keeps its broadcasts, and what was made of them, from task to task
+            held.opened = cloudpickle.loads(held.value)
+        return held.opened
+
+
+def sent(spark: SparkSession, value) -> Sent:
+    return Sent(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,23 +60,60 @@ def row_base() -> int:
     return TaskContext.get().partitionId() << 40
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table with an identity _row of each row, so that decisions come back to rows and not to their ids."""
-    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), name)
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a written table with an identity of each row, so that decisions come back to rows and not to their ids; and that column's name."""
+    row = fresh(df, "_row")
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Of a key column and n (each key once) the most frequent, at most most of them.
+def kept_rows(own: DataFrame, row: str, rows: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of numbered own whose identity is in rows (row), or with keep False is not, without it."""
+    return own.join(rows.select(F.col("row").alias(row)), row, "left_semi" if keep else "left_anti").drop(row)
 
-    A histogram of log counts gives the cut, so neither tasks nor the driver hold more than the bins and the result.
-    Keys whose counts fall into the bin that would pass the bound are all left out, whatever their order.
+
+def frequent(counts: DataFrame, most: int, key: str) -> DataFrame:
+    """Of a key column and n (each key once) the most frequent, about most of them.
+
+    A histogram of log counts gives the cut, so neither tasks nor the driver hold more than the bins and the result. Of the
+    bin that would pass the bound a share is taken by a hash of the key, nine tenths of what still fits.
     """
     place = F.floor(F.log2("n") * 64).cast("int")
     bins = sorted(((r["bin"], r["keys"]) for r in counts.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("keys")).collect()), reverse=True)
-    cut, held = None, 0
+    kept, held = F.lit(False), 0
     for at, keys in bins:
-        held += keys
-        if held > most:
-            break
-        cut = at
-    return counts.where(place >= cut) if cut is not None else counts.where(F.lit(False))
+        if held + keys > most:
+            share = int(0.9 * (most - held) / keys * (1 << 20))
+            return counts.where((place > at) | (place == at) & (F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share))
+        held, kept = held + keys, place >= at
+    return counts.where(kept)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or where df has a column that differs from it in case at most, one that it has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: A key is hot that has more than one in MOST_HOT of all rows, so there are fewer than MOST_HOT hot keys.
+MOST_HOT = 2000
+
+
+def hot_from(total: int) -> int:
+    """Of total rows: a key of more rows than this is hot."""
+    return max(256, total // MOST_HOT)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
+    """rows joined with a table of one row per key, without a task that gets all rows of a frequent key; n goes.
+
+    n is the table's column of how many rows have the key, as far as it is hot. Hot keys are broadcast, all others meet by
+    a shuffle. rows and table are read repeatedly, so they should be written ones.
+    """
+    if total is None:
+        total = table.agg(F.sum(n)).first()[0] or 0
+    hot = table.where(F.col(n) > hot_from(total))
+    few = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) <= hot_from(total)), keys)
+    return few.unionByName(rest).drop(n)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialize, numbered, partitions, row_base
+from .common import arrow_pass, hot_from, join_hot, kept_rows, materialize, numbered, partitions, row_base
 
 BLOCK_BYTES = 512
 _GONE = b" \t\n\x0b\x0c\r"
@@ -84,9 +84,14 @@ def _contents(digest: Callable[[bytes], bytes], size: int):
 
 
 def _named(distinct: DataFrame, keys: list[str], keep: list[str], name: str, tag: str) -> DataFrame:
-    """Integer names of distinct rows: dealt by content, sorted within each part; a name is the part's number and the place in it."""
-    dealt = distinct.repartition(partitions(distinct.sparkSession), *keys).dropDuplicates(keys)
-    return materialize(dealt.sortWithinPartitions(*keys).select(*keep, F.monotonically_increasing_id().alias(name)), tag)
+    """Integer names of rows that are one of a key and dealt by it: sorted within each part; a name is the part's number and the place in it."""
+    return materialize(distinct.sortWithinPartitions(*keys).select(*keep, F.monotonically_increasing_id().alias(name)), tag)
+
+
+def _named_blocks(contents: DataFrame, tag: str) -> DataFrame:
+    """digest, name of each different block; texts are dealt once, and not sorted before."""
+    dealt = contents.repartition(partitions(contents.sparkSession), "block").dropDuplicates(["block"])
+    return _named(dealt, ["block"], ["digest"], "name", tag)
 
 
 def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, digest: Callable[[bytes], bytes] = digest16, row: str | None = None) -> DataFrame:
@@ -96,17 +101,20 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     and repeated or null ids stay apart; row is a column that does so already.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), *([F.col(row).alias("row")] if row else []))
-    names = _named(arrow_pass(source.select("text"), _contents(digest, block_bytes), "digest binary, block binary"), ["block"], ["digest"], "name", "blocks")
+    names = _named_blocks(arrow_pass(source.select("text"), _contents(digest, block_bytes), "digest binary, block binary"), "blocks")
     shared = names.groupBy("digest").count().where("count > 1").limit(1).count() > 0
     if shared:
         content = arrow_pass(source.select("text"), _contents(lambda b: b, block_bytes), "digest binary, block binary")
-        names = _named(content, ["block"], ["digest"], "name", "blocks")
+        names = _named_blocks(content, "blocks")
     rows = materialize(arrow_pass(source, _rows(digest, block_bytes, shared, row is not None), _ROWS), "rows")
-    found = rows.select("rid", F.posexplode("blocks").alias("place", "digest")).join(names, "digest").select("rid", F.col("place").cast("long").alias("place"), "name")
-    most = rows.agg(F.max(F.size("blocks"))).first()[0] or 1
+    found = rows.select("rid", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("place", "digest"))
+    size = rows.agg(F.max(F.size("blocks")).alias("most"), F.sum(F.size("blocks")).alias("all")).first()
+    most, total = size["most"] or 1, size["all"] or 0
+    often = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(total))
+    names = names.join(F.broadcast(often), "digest", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     done = None
-    sizes = rows.select("rid", F.size("blocks").alias("n_blocks"))
-    level = materialize(found.join(sizes, "rid"), "level0")
+    level = join_hot(found, names, ["digest"], "n", total).select("rid", F.col("place").cast("long").alias("place"), "name", "n_blocks")
+    level = materialize(level, "level0")
     while most > 1:
         whole = level.where("n_blocks <= 1").select("rid", "name")
         done = whole if done is None else done.unionByName(whole)
@@ -116,8 +124,8 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
             F.first(F.expr("(n_blocks + 1) div 2")).cast("int").alias("n_blocks"),
         )
         pairs = materialize(pairs, "pairs")
-        names = _named(pairs.select("a", "b").distinct(), ["a", "b"], ["a", "b"], "name", "names")
-        level = materialize(pairs.join(names, ["a", "b"]).select("rid", "place", "name", "n_blocks"), "level")
+        names = _named(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), ["a", "b"], ["a", "b", "n"], "name", "names")
+        level = materialize(join_hot(pairs, names, ["a", "b"], "n").select("rid", "place", "name", "n_blocks"), "level")
         most = (most + 1) // 2
     whole = level.select("rid", "name")
     done = whole if done is None else done.unionByName(whole)
@@ -129,7 +137,8 @@ def _decided(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_B
     named = materialize(identities(docs, doc_id, text, block_bytes, digest, row), "identities")
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
     groups = named.groupBy("n_blocks", "identity").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["n_blocks", "identity"]).select(
+    groups = materialize(groups.withColumn("n", F.col("group_size")), "groups")
+    return join_hot(named, groups, ["n_blocks", "identity"], "n").select(
         "rid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256"
     )
 
@@ -146,9 +155,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, all their columns: one row of equal texts, whatever ids rows have."""
-    own = numbered(docs, "documents")
-    stays = _decided(own, doc_id, text, row="_row").where("kept").select(F.col("rid").alias("_row"))
-    return own.join(stays, "_row", "left_semi").drop("_row")
+    own, row = numbered(docs, "documents")
+    return kept_rows(own, row, _decided(own, doc_id, text, row=row).where("kept").select(F.col("rid").alias("row")))
 
 
 SQL = r"""

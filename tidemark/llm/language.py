@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, fold, frequent, materialize, row_base
+from .common import Sent, arrow_pass, fold, frequent, materialize, row_base, sent
 
 WORDS = 100_000
 GRAMS = 60_000
@@ -68,7 +68,7 @@ def _count_grams(batches):
 
 def _most(counts: DataFrame, key: str, most: int) -> list:
     """lang, key, n of the most frequent keys: at most most times the number of languages."""
-    top = frequent(counts.groupBy(key).agg(F.sum("n").alias("n")), most).select(key)
+    top = frequent(counts.groupBy(key).agg(F.sum("n").alias("n")), most, key).select(key)
     return counts.join(top, key).collect()
 
 
@@ -161,11 +161,11 @@ def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> tuple[Mode
     return Model(langs, _most(counts, "word", words), _most(pieces, "gram", grams), totals, different(counts, "word"), by_size, different(pieces, "gram")), counts, pieces
 
 
-def _vectors(asked: DataFrame, sent, counts: DataFrame, pieces: DataFrame) -> DataFrame:
+def _vectors(asked: DataFrame, known: Sent, counts: DataFrame, pieces: DataFrame) -> DataFrame:
     """word, logs of each word in asked (word, each once), none of them held: by its counts, or unseen in training, by its n-grams."""
 
     def looked_up(batches):
-        model = sent.value
+        model = known.value
         for batch in batches:
             logs, grams = [], []
             for word, found in zip(batch["word"].to_pylist(), batch["found"].to_pylist()):
@@ -175,7 +175,7 @@ def _vectors(asked: DataFrame, sent, counts: DataFrame, pieces: DataFrame) -> Da
             yield pa.RecordBatch.from_arrays([batch["word"], pa.array(logs, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.string()))], names=["word", "logs", "grams"])
 
     def spelt(batches):
-        model = sent.value
+        model = known.value
         for batch in batches:
             logs = []
             for word, found in zip(batch["word"].to_pylist(), batch["found"].to_pylist()):
@@ -193,13 +193,14 @@ def _vectors(asked: DataFrame, sent, counts: DataFrame, pieces: DataFrame) -> Da
 
 def identify(docs: DataFrame, model: Model, counts: DataFrame, pieces: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of each row; `und` and 0 where the text is null, empty or has no letter, or nothing was learned."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    known = sent(docs.sparkSession, model)
 
     def step(batches):
         rid = row_base()
         for batch in batches:
             words = [words_of(x) for x in batch["text"].to_pylist()]
-            found = [sent.value.held(w if sent.value.langs else []) for w in words]
+            own = known.value
+            found = [own.held(w if own.langs else []) for w in words]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(rid, rid + n), pa.int64()), batch["doc_id"], pa.array([len(w) for w in words], pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int64())),
@@ -209,7 +210,7 @@ def identify(docs: DataFrame, model: Model, counts: DataFrame, pieces: DataFrame
             rid += n
 
     def decided(batches):
-        model = sent.value
+        model = known.value
         for batch in batches:
             found = []
             for n, total, more in zip(batch["n_words"].to_pylist(), batch["total"].to_pylist(), batch["more"].to_pylist()):
@@ -219,7 +220,7 @@ def identify(docs: DataFrame, model: Model, counts: DataFrame, pieces: DataFrame
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(arrow_pass(own, step, "rid long, doc_id long, n_words long, total array<long>, rest array<struct<word:string,n:long>>"), "rows")
     rest = rows.select("rid", F.explode("rest").alias("rest")).select("rid", "rest.word", F.col("rest.n").alias("times"))
-    vectors = materialize(_vectors(rest.select("word").distinct(), sent, counts, pieces), "vectors")
+    vectors = materialize(_vectors(rest.select("word").distinct(), known, counts, pieces), "vectors")
     sums = F.array(*[F.sum(F.col("times") * F.get("logs", F.lit(i))) for i in range(len(model.langs))]).cast("array<long>")
     whole = rows.drop("rest").join(rest.join(vectors, "word").groupBy("rid").agg(sums.alias("more")), "rid", "left")
     return arrow_pass(whole.select("doc_id", "n_words", "total", "more"), decided, "doc_id long, lang_pred string, score double")

@@ -1,8 +1,8 @@
 r"""Personal data in texts, in DataFrame operations only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for bank accounts), and words nearby
-raise the score. A span's place comes from the lengths of what lies between matches: splitting a text by a pattern
-gives the gaps, extracting gives the matches, and the running total of both gives the starts, in code points.
+before and after raise the score. A span's place comes from the lengths of what lies between matches: splitting a text
+by a pattern gives the gaps, extracting gives the matches, and the running total of both gives the starts, in code points.
 
 Patterns are written so that each takes time in proportion to the text: a match can only start where a run of its
 characters does, or where the last match ended, and runs that need no second try are possessive.
@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lookup import private
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -74,51 +76,86 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: Kind, rank: int, text: Column) -> Column:
-    """array<struct<start, rank, end, kind, text, score>> of the valid matches of a kind, empty for most texts at the price of one test."""
-    cut = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,before:string,match:string>>").alias("found"))
+_BLOCK = 128
+
+
+def _running(lengths: Column) -> Column:
+    """The total before each of an array of numbers.
+
+    A fold over the whole array would copy what it has at each step. So the totals of blocks are folded, which are few, and
+    then each block by itself.
+    """
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(lengths) / _BLOCK).cast("int") - 1)
+    block = lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))
+    add = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
+    sums = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda a, x: a + x))
+    before = F.aggregate(sums, F.array(F.lit(0)), add)
+    inside = F.zip_with(blocks, F.slice(before, F.lit(1), F.size(sums)), lambda b, start: F.slice(F.aggregate(block(b), F.array(start), add), F.lit(1), F.size(block(b))))
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(F.flatten(inside))
 
-    def add(s, x):
-        start = s["at"] + F.length(x["gap"])
-        return F.struct(
-            (start + F.length(x["match"])).alias("at"),
-            F.array_append(s["found"], F.struct(start.alias("start"), F.right(x["gap"], F.lit(NEAR)).alias("before"), x["match"].alias("match"))).alias("found"),
-        )
 
-    placed = F.aggregate(F.filter(cut, lambda x: x["match"].isNotNull()), state, add)["found"]
+_CUT = "array<struct<gap:int,before:string,match:string,after:string>>"
+
+
+def _cut(kind: Kind, text: Column) -> Column:
+    """_CUT: the matches of a kind with how many characters lie before each, and NEAR of those on both sides; empty for most texts at the price of one test."""
+    gaps, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    both = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(NEAR)).alias("before"), m.alias("match")))
+    after = F.transform(F.slice(gaps, 2, F.size(gaps)), lambda g: F.left(g, F.lit(NEAR)))
+    cut = F.zip_with(both, after, lambda x, a: F.struct(x["gap"].alias("gap"), x["before"].alias("before"), x["match"].alias("match"), a.alias("after")))
+    hint = F.contains(text, F.lit(kind.hint)) if kind.hint == "@" else text.rlike(kind.hint)
+    return F.when(hint, F.filter(cut, lambda x: x["match"].isNotNull())).otherwise(F.array().cast(_CUT))
+
+
+def _scored(kind: Kind, rank: int, cut: Column, before: Column) -> Column:
+    """array<struct<start, rank, end, kind, text, score>> of the valid matches of a kind."""
 
     def scored(x):
-        score = F.lit(kind.score) + F.when(F.lower(x["before"]).rlike(kind.context), BONUS).otherwise(0.0)
+        near = F.lower(F.concat_ws(" ", x["before"], x["after"]))
+        score = F.lit(kind.score) + F.when(near.rlike(kind.context), BONUS).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["match"])).alias("end"), F.lit(kind.name).alias("kind"), x["match"].alias("text"), F.round(score, 2).alias("score"))
 
-    found = F.filter(F.transform(F.filter(placed, lambda x: _valid(kind.name, x["match"])), scored), lambda x: F.lit(kind.base) | (x["score"] >= LEAST))
-    hint = F.contains(text, F.lit(kind.hint)) if kind.hint == "@" else text.rlike(kind.hint)
-    return F.when(hint, found).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,text:string,score:double>>"))
+    placed = F.zip_with(cut, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), x["before"].alias("before"), x["match"].alias("match"), x["after"].alias("after")))
+    valid = F.filter(placed, lambda x: _valid(kind.name, x["match"]))
+    return F.filter(F.transform(valid, scored), lambda x: F.lit(kind.base) | (x["score"] >= LEAST))
+
+
+def _with_spans(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """df with a column out: all spans of text, by start and then kind as listed.
+
+    Each step is a column of its own, which the steps within arrays then read: what stands inside a function of array
+    elements is worked out again for each element. df must have no column that begins with out.
+    """
+    own = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    n = range(len(KINDS))
+    df = df.select(*own, *[_cut(k, text).alias(f"{out}_cut{i}") for i, k in enumerate(KINDS)])
+    lengths = [F.transform(f"{out}_cut{i}", lambda x: x["gap"] + F.length(x["match"])).alias(f"{out}_length{i}") for i in n]
+    df = df.select(*own, *[f"{out}_cut{i}" for i in n], *lengths)
+    df = df.select(*own, *[f"{out}_cut{i}" for i in n], *[_running(F.col(f"{out}_length{i}")).alias(f"{out}_at{i}") for i in n])
+    spans = [_scored(k, i, F.col(f"{out}_cut{i}"), F.col(f"{out}_at{i}")) for i, k in enumerate(KINDS)]
+    return df.select(*own, F.array_sort(F.concat(*spans)).alias(out))
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, spans: array of start, rank, end, kind, text, score, by start and then kind as listed.
 
-    Places are code points, ends exclusive. Null and empty texts have no spans; spans of different kinds may overlap;
+    Places are code points, ends exclusive. Words of context count in NEAR characters before and after a match, as far as
+    no other match of the kind stands there. Null and empty texts have no spans; spans of different kinds may overlap;
     repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(doc_id).alias("doc_id"), *[_spans(k, i, whole).alias(k.name) for i, k in enumerate(KINDS)])
-    return found.select("doc_id", F.array_sort(F.concat(*[k.name for k in KINDS])).alias("spans"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return _with_spans(own, F.col("text"), "spans").select("doc_id", "spans")
 
 
 def mask_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, with each span of text replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    spans = F.array_sort(F.concat(*[_spans(k, i, whole) for i, k in enumerate(KINDS)]))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def put(s, x):
-        return F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(whole, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out")))
-
-    end = F.aggregate(spans, state, put)
-    return docs.withColumn(text, F.when(F.col(text).isNotNull(), F.concat(end["out"], F.substring(whole, end["at"] + 1, F.length(whole)))))
+    spans, whole = private(docs.columns), F.coalesce(F.col(text), F.lit(""))
+    kept = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda s, x: F.when(x["start"] < s["at"], s).otherwise(
+        F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(whole, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"))
+    ))
+    found = _with_spans(docs, whole, spans).withColumn(f"{spans}end", kept)
+    masked = F.concat(F.col(f"{spans}end")["out"], F.substring(whole, F.col(f"{spans}end")["at"] + 1, F.length(whole)))
+    return found.select(*[F.when(F.col(text).isNotNull(), masked).alias(text) if c == text else F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
@@ -126,11 +163,12 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, a count for each base kind, base_sha256, spans: of find_pii()'s result."""
+    """doc_id, a count for each base kind, base_sha256, spans, and their scores in the same order: of find_pii()'s result."""
     base = [k.name for k in KINDS if k.base]
     of_base = F.filter("spans", lambda x: x["kind"].isin(base))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",")
+    return found.select("doc_id", *map(count, base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), scores.alias("scores"))

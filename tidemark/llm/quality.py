@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, fold, materialize, numbered
+from .common import arrow_pass, fold, kept_rows, materialize, numbered
 
 FEATURES = 256
 WIDTH = 3.0
@@ -172,6 +172,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose text is predicted good, all their columns, whatever ids rows have."""
-    own = numbered(docs, "documents")
-    bad = _scored(own, labels, doc_id, text, row="_row").where("predicted = 0").select(F.col("row").alias("_row"))
-    return own.join(bad, "_row", "left_anti").drop("_row")
+    own, row = numbered(docs, "documents")
+    return kept_rows(own, row, _scored(own, labels, doc_id, text, row=row).where("predicted = 0"), keep=False)

@@ -7,6 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat_tree, decontaminate, exact_dedup, hmm, language, mixing, near_dedup, pii, quality, url_filter
 
 
+#: Rules as (host, start of the path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+#: Hosts that are blocked, with their subdomains, where no rule fits: each name at each end.
+LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_ENDS = ["example.com", "example.net", "example.org"]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +56,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+    rules = url_filter.rule_table(spark, URL_RULES)
+    hosts = url_filter.host_table(spark, [f"{name}.{end}" for end in LISTED_ENDS for name in LISTED_NAMES])
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), rules, hosts)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
