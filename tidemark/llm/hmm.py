@@ -180,22 +180,23 @@ class Hmm:
         by_class = np.ascontiguousarray(self.emit.T)
         middle = self.stationary()
         codes_of, weights_of = [], []
-        for at in range(0, len(rows), 256):
-            part = rows[at : at + 256]
+        steps_seen = np.zeros((k, k))
+        for at in range(0, len(rows), 512):
+            part = rows[at : at + 512]
             sizes = np.array([len(r[1]) for r in part])
             first = np.array([r[0] for r in part])
             n, steps = len(part), int(sizes[0])
-            codes = np.zeros((n, steps), np.int64)
+            codes = np.zeros((steps, n), np.int64)
             for i, (_, c) in enumerate(part):
-                codes[i, : len(c)] = c
+                codes[: len(c), i] = c
             seen = by_class[codes]
             live = np.array([np.searchsorted(-sizes, -t, side="left") for t in range(steps)])  # rows longer than t
             forward, scale = np.zeros((steps, n, k)), np.ones((steps, n))
-            now = np.where(first[:, None], self.start, middle) * seen[:, 0]
+            now = np.where(first[:, None], self.start, middle) * seen[0]
             for t in range(steps):
                 m = live[t]
                 if t:
-                    now = (forward[t - 1, :m] @ self.move) * seen[:m, t]
+                    now = (forward[t - 1, :m] @ self.move) * seen[t, :m]
                 scale[t, :m] = now[:m].sum(1)
                 forward[t, :m] = now[:m] / scale[t, :m, None]
             back = np.ones((n, k))
@@ -203,8 +204,8 @@ class Hmm:
             for t in range(steps - 1, -1, -1):
                 m = live[t]
                 if t + 1 < steps and (later := live[t + 1]):
-                    weighed = backs[t + 1, :later] * seen[:later, t + 1] / scale[t + 1, :later, None]
-                    out[:, 1 : 1 + k] += self.move * (forward[t, :later].T @ weighed)
+                    weighed = backs[t + 1, :later] * seen[t + 1, :later] / scale[t + 1, :later, None]
+                    steps_seen += forward[t, :later].T @ weighed
                     back[:later] = weighed @ self.move.T
                 backs[t, :m] = back[:m]
             held = forward * backs
@@ -213,8 +214,9 @@ class Hmm:
             inside[0] &= first
             logs = np.log10(scale)
             likely += float(logs[1:].sum() + logs[0][first].sum())
-            codes_of.append(codes.T[inside])
+            codes_of.append(codes[inside])
             weights_of.append(held[inside])
+        out[:, 1 : 1 + k] = self.move * steps_seen
         if codes_of:
             flat, weights = np.concatenate(codes_of), np.concatenate(weights_of)
             for s in range(k):
