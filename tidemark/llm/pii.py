@@ -172,3 +172,33 @@ def digest(found: DataFrame) -> DataFrame:
 
     scores = F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",")
     return found.select("doc_id", *map(count, base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), scores.alias("scores"))
+
+
+SQL = r"""
+with k(kind, rank, pattern, worth, near) as (values
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', 0.9::double, 'mail|contact|write to|correo|courriel|kontakt'),
+  ('ip', 1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', 0.6, '\bip\b|address|host|server|adresse|dirección'),
+  ('card', 2, '[0-9]([\x20-]?[0-9])+', 0.7, 'card|visa|credit|payment|tarjeta|carte|karte'),
+  ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]', 0.6, 'phone|call|tel|fax|mobile|teléfono|téléphone|telefon'),
+  ('iban', 4, '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}', 0.8, 'iban|account|bank|konto|cuenta|compte'),
+  ('ssn', 5, '[0-9]{3}-[0-9]{2}-[0-9]{4}', 0.4, 'ssn|social|security|taxpayer')),
+t as (select row_number() over () as rid, doc_id, coalesce(text, '') as s from documents),
+m as (select rid, s, k.*, regexp_extract_all(s, pattern) as ms, string_split_regex(s, pattern) as gs from t, k),
+e as (select rid, s, kind, rank, worth, near, unnest(ms) as hit, unnest(gs[1:len(ms)]) as gap, unnest(gs[2:len(ms) + 1]) as nxt, unnest(range(len(ms))) as i from m where len(ms) > 0),
+p as (select *, (sum(length(gap) + length(hit)) over (partition by rid, rank order by i) - length(hit))::bigint as start, regexp_replace(hit, '[^0-9]', '', 'g') as d,
+  round(worth + case when regexp_matches(lower(right(gap, 40) || ' ' || left(nxt, 40)), near) then 0.2::double else 0 end, 2) as score from e),
+q as (select *, string_split(reverse(d), '') as back, substr(s, start::bigint, case when start > 0 then 1 else 0 end) as before, substr(s, (start + length(hit) + 1)::bigint, 1) as after,
+  replace(hit, ' ', '') as code from p),
+v as (select * from q where case kind
+  when 'email' then true
+  when 'ip' then len([x for x in string_split(hit, '.') if length(ltrim(x, '0')) > 3 or right(x, 3)::int > 255]) = 0
+  when 'card' then length(d) between 14 and 19 and list_sum([case when j % 2 = 1 then back[j]::int else (2 * back[j]::int) // 10 + (2 * back[j]::int) % 10 end for j in range(1, length(d) + 1)]) % 10 = 0
+  when 'phone' then length(d) between 10 and 15
+  when 'iban' then length(code) between 15 and 34 and not regexp_matches(before, '[A-Za-z0-9]') and not regexp_matches(after, '[A-Za-z0-9]') and list_reduce(
+    list_prepend(0, [x::int for x in string_split(array_to_string([case when c between '0' and '9' then c else (ascii(c) - 55)::varchar end for c in string_split(substr(code, 5) || left(code, 4), '')], ''), '')]), lambda a, x: (a * 10 + x) % 97) = 1
+  else score >= 0.5 and not regexp_matches(before, '[0-9-]') and not regexp_matches(after, '[0-9-]') and not regexp_matches(hit, '^(000|666|9)') and substr(hit, 5, 2) <> '00' and right(hit, 4) <> '0000' end),
+g as (select rid, kind, rank, start, kind || ':' || start || ':' || (start + length(hit)) as span, score from v)
+select t.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+  sha256(coalesce(string_agg(span, ',' order by start, rank) filter (rank < 4), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, rank), '') as spans, coalesce(string_agg(score::varchar, ',' order by start, rank), '') as scores
+from t left join g on t.rid = g.rid group by t.rid, t.doc_id
+"""

@@ -74,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_tree": chat_tree.SQL, "op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filter": url_filter.SQL}
+    return {"op4_pii": pii.SQL, "op5_chat_tree": chat_tree.SQL, "op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filter": url_filter.SQL}

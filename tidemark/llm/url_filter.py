@@ -94,12 +94,16 @@ def _members(rows: DataFrame, keys: str, out: str, listed: DataFrame, universe:
     return rows.join(found, "rid", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
+def _table(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+
+
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    return _table(spark, [{"host": h, "path": p, "verdict": v} for h, p, v in rules], "host:string,path:string,verdict:string")
 
 
 def host_table(spark: SparkSession, hosts: list[str]) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in hosts], "host string")
+    return _table(spark, [{"host": h} for h in hosts], "host:string")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
