@@ -35,13 +35,30 @@ def sent(spark: SparkSession, value) -> Sent:
     return Sent(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
+#: Tables that this process has written, in order.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and losing executors costs nothing before it."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The tables written so far; what comes on top while an operator is called is what its result reads."""
+    return list(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that no result still to be worked out reads."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
