@@ -28,6 +28,8 @@ class Sent:
         held = self._broadcast
         if "opened" not in held.__dict__:  # a worker keeps its broadcasts, and what was made of them, from task to task
             held.opened = cloudpickle.loads(held.value)
+            if TaskContext.get():  # a worker needs the bytes no more
+                held.__dict__.pop("_value", None)
         return held.opened
 
 

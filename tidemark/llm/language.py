@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ GRAMS = 60_000
 LONGEST = 5
 SMOOTH = 0.1
 SCALE = 1 << 24
-_HELD = 300_000
+_HELD = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -100,6 +101,13 @@ class Model:
             out[key][self.at[lang]] += n
         return out
 
+    def counts(self, found: pa.ListArray) -> np.ndarray:
+        """A row for each list of (lang, n), a column for each language."""
+        flat, out = found.flatten(), np.zeros((len(found), len(self.langs)))
+        lang = pc.index_in(flat.field("lang"), value_set=pa.array(self.langs, pa.string())).to_numpy(zero_copy_only=False)
+        np.add.at(out, (pc.list_parent_indices(found).to_numpy(zero_copy_only=False), lang), flat.field("n").to_numpy(zero_copy_only=False))
+        return out
+
     def _table(self, held, row):
         index = {key: k for k, key in enumerate(sorted(held))}
         return index, np.stack([row(key, held[key]) for key in index]) if index else np.zeros((0, len(self.langs)), np.int64)
@@ -112,7 +120,7 @@ class Model:
 
     def not_held(self, word: str) -> list[str]:
         """The word's n-grams that are not held, each once."""
-        return list({word[i : i + size] for size in range(1, LONGEST + 1) for i in range(len(word) - size + 1)} - self.grams.keys())
+        return [g for g in {word[i : i + size] for size in range(1, LONGEST + 1) for i in range(len(word) - size + 1)} if g not in self.grams]
 
     def unseen(self, word: str, more: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """The sum over its pieces, held or in more; characters that no training word has count alike for all languages."""
@@ -167,11 +175,11 @@ def _vectors(asked: DataFrame, known: Sent, counts: DataFrame, pieces: DataFrame
     def looked_up(batches):
         model = known.value
         for batch in batches:
-            logs, grams = [], []
-            for word, found in zip(batch["word"].to_pylist(), batch["found"].to_pylist()):
-                row = model._held([(word, f["lang"], f["n"]) for f in found])
-                logs.append(model.word_row(word, row[word]) if row else None)
-                grams.append([] if row else model.not_held(word))
+            found = batch["found"]
+            seen = pc.list_value_length(found).to_numpy(zero_copy_only=False) > 0
+            rows = model.word_row("", model.counts(found))
+            logs = [row if known else None for row, known in zip(rows, seen)]
+            grams = [[] if known else model.not_held(word) for word, known in zip(batch["word"].to_pylist(), seen)]
             yield pa.RecordBatch.from_arrays([batch["word"], pa.array(logs, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.string()))], names=["word", "logs", "grams"])
 
     def spelt(batches):
@@ -197,17 +205,23 @@ def identify(docs: DataFrame, model: Model, counts: DataFrame, pieces: DataFrame
 
     def step(batches):
         rid = row_base()
-        for batch in batches:
-            words = [words_of(x) for x in batch["text"].to_pylist()]
-            own = known.value
-            found = [own.held(w if own.langs else []) for w in words]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(rid, rid + n), pa.int64()), batch["doc_id"], pa.array([len(w) for w in words], pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                 pa.array([f[1] for f in found], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
-                names=["rid", "doc_id", "n_words", "total", "rest"],
-            )
-            rid += n
+        own = known.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):  # few texts' words at once
+                batch = whole.slice(k, 500)
+                n, sizes, totals, rest = batch.num_rows, [], [], []
+                for text in batch["text"].to_pylist():
+                    words = words_of(text) if own.langs else []
+                    total, more = own.held(words)
+                    sizes.append(len(words))
+                    totals.append(total)
+                    rest.append(more)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(rid, rid + n), pa.int64()), batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(totals, pa.list_(pa.int64())),
+                     pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
+                    names=["rid", "doc_id", "n_words", "total", "rest"],
+                )
+                rid += n
 
     def decided(batches):
         model = known.value
