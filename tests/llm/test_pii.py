@@ -31,18 +31,22 @@ def brute(text):
 
 def texts():
     rnd = random.Random(5)
-    bits = ["a@b.com", "_x@y.org", "x@@y.z", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "0255.000.1.001", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (988) 555-2485", "+1", "+", "é", "😀", " ", ".", "-", "12", "0", "x", "\n", "@", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "ssn "]
+    bits = ["a@b.com", "_x@y.org", "x@@y.z", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "0255.000.1.001", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (988) 555-2485", "+1", "+", "é", "😀", " ", ".", "-", "12", "0", "x", "\n", "@", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "ssn ", "token ", "a1" * 12]
     made = ["".join(rnd.choices(bits, k=rnd.randint(1, 14))) for _ in range(400)]
-    return [None, "", *made, "x" * 300_000 + "@", "1 " * 60_000, "1" * 120_000, "+1" + "(" * 100_000, "a@b.c " * 16_000, "1.2.3.4 " * 3000, "x" * 700 + "a@b.c" + "é" * 90_000 + "@"]
+    return [None, "", *made, *sorted(NOTHING), "1 " * 60_000, "+1" + "(" * 100_000, "a@b.c " * 16_000, "1.2.3.4 " * 3000, "x" * 700 + "a@b.c" + "é" * 90_000 + "@"]
+
+
+#: Long runs that plain patterns take quadratic time to give up; by the rules nothing in them counts.
+NOTHING = {"x" * 300_000 + "@", "1" * 120_000}
 
 
 def test_base_spans_equal_brute_force(spark):
     rows = list(enumerate(texts()))
     got = {r["doc_id"]: r for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     for i, text in rows:
-        want = brute(text)
+        want = "" if text in NOTHING else brute(text)
         assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), (text or "")[:80]
-        assert ",".join(x for x in got[i]["spans"].split(",") if x.split(":")[0] not in ("iban", "ssn")) == want
+        assert ",".join(x for x in got[i]["spans"].split(",") if x.split(":")[0] in ("email", "ip", "card", "phone")) == want
 
 
 def test_added_kinds_and_context(spark):
@@ -52,6 +56,15 @@ def test_added_kinds_and_context(spark):
     assert pii.mask_pii(df).where("doc_id = 3").first()["text"] == "ssn <ssn>"
 
 
+def test_secrets_need_a_form_or_a_word_beside_them(spark):
+    hexed, key = "7c72db563d7f6e50cec00950f7bab1f2223b6afd", "AKIA" + "A1B2C3D4" * 2
+    texts = [f'token = "{hexed}"', f"commit {hexed}", f"{hexed} is my PASSWORD", f"see {key}.", "token " + "x" * 40, "token " + "1" * 40, "a token of internationalisation2024", "-----BEGIN RSA PRIVATE KEY-----", "Token " + "a1" * 9]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[(s["kind"], s["text"]) for s in r["spans"]] for r in sorted(got)] == [
+        [("secret", hexed)], [], [("secret", hexed)], [("key", key)], [], [], [("secret", "internationalisation2024")], [("key", "-----BEGIN RSA PRIVATE KEY-----")], []
+    ]
+
+
 def test_time_follows_the_matches(spark):
     took = {}
     for n in (8000, 8000, 32_000):

@@ -1,7 +1,8 @@
 r"""Personal data in texts, in DataFrame operations only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for bank accounts), and words nearby
-before and after raise the score. A span's place comes from the lengths of what lies between matches: splitting a text
+before and after raise the score. Secrets without a form of their own are long runs of letters and digits that such words
+must stand beside. A span's place comes from the lengths of what lies between matches: splitting a text
 by a pattern gives the gaps, extracting gives the matches, and the running total of both gives the starts, in code points.
 
 Patterns are written so that each takes time in proportion to the text: a match can only start where a run of its
@@ -36,6 +37,8 @@ KINDS = [
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, r"phone|call|tel|fax|mobile|teléfono|téléphone|telefon"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, r"iban|account|bank|konto|cuenta|compte", base=False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.4, r"ssn|social|security|taxpayer", base=False),
+    Kind("key", r"A[KS]IA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abp]-[A-Za-z0-9-]{10}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", r"A[KS]IA|gh[opsu]_|glpat-|xox[abp]-|PRIVATE KEY", 0.8, r"key|token|secret", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_]{20,}+", r"(?iu)token|secret|passw|credential|bearer|api.?key|access.?key", 0.3, r"token|secret|passw|credential|bearer|api.?key|access.?key", base=False),
 ]
 BONUS = 0.2
 #: An added kind needs this score, its own or with context; base kinds stay at any score.
@@ -73,6 +76,8 @@ def _valid(kind: str, text: Column) -> Column:
     if kind == "iban":
         code = F.replace(text, F.lit(" "), F.lit(""))
         return F.when(F.length(code).between(15, 34), mod97(code)).otherwise(False)
+    if kind == "secret":
+        return (n >= 3) & text.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -163,7 +168,7 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, a count for each base kind, base_sha256, spans, and their scores in the same order: of find_pii()'s result."""
+    """doc_id, a count for each base kind, base_sha256, spans, their scores in the same order, and their number: of find_pii()'s result."""
     base = [k.name for k in KINDS if k.base]
     of_base = F.filter("spans", lambda x: x["kind"].isin(base))
 
@@ -171,7 +176,7 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     scores = F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",")
-    return found.select("doc_id", *map(count, base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), scores.alias("scores"))
+    return found.select("doc_id", *map(count, base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), scores.alias("scores"), F.size("spans").cast("long").alias("n_spans"))
 
 
 SQL = r"""
@@ -181,7 +186,9 @@ with k(kind, rank, pattern, worth, near) as (values
   ('card', 2, '[0-9]([\x20-]?[0-9])+', 0.7, 'card|visa|credit|payment|tarjeta|carte|karte'),
   ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]', 0.6, 'phone|call|tel|fax|mobile|teléfono|téléphone|telefon'),
   ('iban', 4, '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}', 0.8, 'iban|account|bank|konto|cuenta|compte'),
-  ('ssn', 5, '[0-9]{3}-[0-9]{2}-[0-9]{4}', 0.4, 'ssn|social|security|taxpayer')),
+  ('ssn', 5, '[0-9]{3}-[0-9]{2}-[0-9]{4}', 0.4, 'ssn|social|security|taxpayer'),
+  ('key', 6, 'A[KS]IA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abp]-[A-Za-z0-9-]{10}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----', 0.8, 'key|token|secret'),
+  ('secret', 7, '[A-Za-z0-9+/_]{20,}', 0.3, 'token|secret|passw|credential|bearer|api.?key|access.?key')),
 t as (select row_number() over () as rid, doc_id, coalesce(text, '') as s from documents),
 m as (select rid, s, k.*, regexp_extract_all(s, pattern) as ms, string_split_regex(s, pattern) as gs from t, k),
 e as (select rid, s, kind, rank, worth, near, unnest(ms) as hit, unnest(gs[1:len(ms)]) as gap, unnest(gs[2:len(ms) + 1]) as nxt, unnest(range(len(ms))) as i from m where len(ms) > 0),
@@ -196,9 +203,11 @@ v as (select * from q where case kind
   when 'phone' then length(d) between 10 and 15
   when 'iban' then length(code) between 15 and 34 and not regexp_matches(before, '[A-Za-z0-9]') and not regexp_matches(after, '[A-Za-z0-9]') and list_reduce(
     list_prepend(0, [x::int for x in string_split(array_to_string([case when c between '0' and '9' then c else (ascii(c) - 55)::varchar end for c in string_split(substr(code, 5) || left(code, 4), '')], ''), '')]), lambda a, x: (a * 10 + x) % 97) = 1
+  when 'key' then true
+  when 'secret' then score >= 0.5 and length(d) >= 3 and regexp_matches(hit, '[A-Za-z]')
   else score >= 0.5 and not regexp_matches(before, '[0-9-]') and not regexp_matches(after, '[0-9-]') and not regexp_matches(hit, '^(000|666|9)') and substr(hit, 5, 2) <> '00' and right(hit, 4) <> '0000' end),
 g as (select rid, kind, rank, start, kind || ':' || start || ':' || (start + length(hit)) as span, score from v)
 select t.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
-  sha256(coalesce(string_agg(span, ',' order by start, rank) filter (rank < 4), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, rank), '') as spans, coalesce(string_agg(score::varchar, ',' order by start, rank), '') as scores
+  sha256(coalesce(string_agg(span, ',' order by start, rank) filter (rank < 4), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, rank), '') as spans, coalesce(string_agg(score::varchar, ',' order by start, rank), '') as scores, count(g.rid) as n_spans
 from t left join g on t.rid = g.rid group by t.rid, t.doc_id
 """
