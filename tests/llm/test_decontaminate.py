@@ -146,3 +146,44 @@ def test_the_index_gives_what_all_pairs_give(spark, monkeypatch):
     assert sorted(map(str, d.find_leaks(df, bench).collect())) == plain
     monkeypatch.setattr(d, "MOST_ITEMS", 8)  # group by group
     assert {r["doc_id"]: r["item_ids"] for r in d.find_leaks(df, bench).collect() if r["contaminated"]} == {k: [i] for k, i in want.items()}
+
+
+def test_the_space_is_that_of_all_different_texts(spark, monkeypatch):
+    """Few words, so the SVD has no remainder: its values are those of all passages, by numpy."""
+    rnd = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(30)]
+    some = lambda n: " ".join(rnd.choices(vocabulary + ["beyond"], k=n))
+    items = [(i, some(12)) for i in range(9)]
+    texts = [some(rnd.choice([0, 1, 9, 40, 70])) for _ in range(3000)]
+    seen, settle = [], d.Benchmark.settle
+    monkeypatch.setattr(d.Benchmark, "settle", lambda self, basis, spread: (seen.append((self, spread)), settle(self, basis, spread))[1])
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:500] + [None])], "doc_id long, text string")
+    d.find_leaks(rows, spark.createDataFrame(items, "item_id long, text string"))
+    bench, spread = seen[0]
+    corpus, listed = [bench.known(d.words_of(t)) for t in set(texts)], [bench.known(d.words_of(t)) for _, t in items]
+    gram = np.zeros((bench.terms, bench.terms))
+    for group, weight in ((corpus, 1.0), (listed, sum(map(len, corpus)) / sum(map(len, listed)))):
+        for ids in group:
+            for at in range(0, len(ids), d.PASSAGE):
+                part = ids[at : at + d.PASSAGE]
+                a = np.bincount(part[part >= 0], minlength=bench.terms) * bench.idf
+                gram += weight * np.outer(a, a) / max(a @ a, 1e-300)
+    assert np.allclose(spread, np.sqrt(np.linalg.eigvalsh(gram)[::-1]), rtol=1e-6)
+
+
+def test_pairs_of_frequent_words_give_what_whole_passages_give(monkeypatch):
+    items, docs, _ = corpus()
+    bench = d.Benchmark(items)
+    bench.weigh(300, {k: k % 200 for k in range(bench.terms)})
+    shipped = type("Shipped", (), {"value": bench})
+    block = np.random.default_rng(2).normal(size=(bench.terms, 7))
+    batch = d.pa.RecordBatch.from_arrays([d.pa.array([t for _, t in docs]), d.pa.array([1.0 + k % 3 for k, _ in docs])], names=["text", "weight"])
+
+    def product():
+        return np.concatenate([np.reshape(x, (-1, 7)) for x in next(d._products(shipped, block)([batch]))["part"].to_pylist()])
+
+    whole = product()
+    for paired, stretch in ((0, 1 << 16), (20, 1 << 16), (20, 64)):
+        monkeypatch.setattr(d, "PAIRED", paired)
+        monkeypatch.setattr(d, "STRETCH", stretch)
+        assert np.allclose(product(), whole, rtol=1e-9, atol=1e-9)

@@ -3,8 +3,10 @@
 Passages are TF-IDF vectors over the benchmark's vocabulary; how many documents hold each word is counted over the whole
 corpus. A distributed randomised SVD finds the latent space: each partition multiplies its passages with a thin block and
 back, the products are added up in pieces, and the driver only orthonormalises a block of terms x RANK. The space is fit
-on the benchmark and on the passages of about FIT_DOCS different texts, dealt by a hash; everything else covers all
-documents. Every document is then read whole: running sums of word vectors give the vector of each window, windows are
+on the benchmark and on all passages of all different texts. Texts are split into words once, which are written as the
+benchmark's numbers of them; counts, space and search read these. A passage of frequent words adds its pairs of words to
+a matrix of the task, which meets the block once; other passages meet it themselves, with the same result.
+Every document is read whole: running sums of word vectors give the vector of each window, windows are
 compared with benchmark passages of their length by cosine, and what is near enough is checked by the longest common
 subsequence of words with the item, and by its answer, the last sentence, where that alone does not decide.
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, kept_rows, materialize, numbered, sent
 
 RANK, SPARE, POWERS = 96, 8, 2
-FIT_DOCS = 2000
 PASSAGE = 32
+#: So many of the most frequent words have their pairs added up, in a matrix of this width; words that are read at a time.
+PAIRED, STRETCH = 4096, 1 << 16
 #: Window lengths; an item is compared in the shortest that holds it, longer items in pieces of the longest.
 WINDOWS = (32, 64, 128)
 LIKELY = 0.35
@@ -76,6 +79,7 @@ class Benchmark:
         self.items = [(i, words_of(t)) for i, t in items]
         self.ids = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.terms = max(1, len(self.ids))
+        self.kind = np.int16 if self.terms < 1 << 15 else np.int32
         self.checks, self.pairs, self.singles = [], {}, {}
         for n, ((_, text), (_, ws)) in enumerate(zip(items, self.items)):
             own = [self.ids[w] for w in ws]
@@ -88,8 +92,7 @@ class Benchmark:
                 self.pairs.setdefault(tuple(own), []).append(n)
 
     def known(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
 
     def weigh(self, docs: int, holding: dict[int, int]) -> None:
         got = np.zeros(self.terms)
@@ -159,9 +162,9 @@ class Benchmark:
             near.append(np.stack([a[ok], b[ok]], 1))
         return np.concatenate(near)
 
-    def leaks(self, words: list[bytes]) -> dict[int, float]:
-        """item number: the largest share of its words found in order, of a whole document's words."""
-        ids = self.known(words)
+    def leaks(self, words: list[bytes] | np.ndarray) -> dict[int, float]:
+        """item number: the largest share of its words found in order, of a whole document's words or their numbers."""
+        ids = words if isinstance(words, np.ndarray) else self.known(words)
         out: dict[int, float] = {}
         if len(ids) == 1:
             out.update(dict.fromkeys(self.singles.get(int(ids[0]), []), 1.0))
@@ -201,47 +204,108 @@ class Benchmark:
         return out
 
 
-def _holding(shipped):
+def _as_numbers(shipped):
+    """doc_id, copy, words: a row's words as the benchmark's numbers of them, -1 for all others."""
+
+    def step(batches):
+        bench = shipped.value
+        for batch in batches:
+            words = pa.array([bench.known(words_of(text)).astype(bench.kind).tobytes() for text in batch["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["copy"], words], names=["doc_id", "copy", "words"])
+
+    return step
+
+
+def _holding(terms: int, kind: type):
     """term, n: documents of the task that hold each of the benchmark's words; their number at -1."""
 
     def step(batches):
-        known, counts, docs = shipped.value.ids, Counter(), 0
-        names = set(known)
+        total, docs = np.zeros(terms + 1, np.int64), 0
         for batch in batches:
             docs += batch.num_rows
-            for text in batch["text"].to_pylist():
-                counts.update(names.intersection(words_of(text)))
-        total: Counter = Counter({-1: docs})
-        for w, n in counts.items():
-            total[known[w]] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+            for words in batch["words"].to_pylist():
+                total[np.unique(np.frombuffer(words, kind))] += 1  # -1 is the last place
+        some = np.flatnonzero(total[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], docs), pa.int64())], names=["term", "n"])
 
     return step
 
 
+def _stretches(batch: pa.RecordBatch, bench: Benchmark):
+    """Numbers of words, the passage of each, and each passage's weight, about STRETCH words at a time."""
+
+    def passages() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(x) for x in held])
+        many = -(-n // PASSAGE)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.concatenate(held).astype(np.int64), np.repeat(np.cumsum(many) - many, n) + place // PASSAGE, np.repeat(weights, many)
+
+    written = "words" in batch.schema.names
+    held, weights, size = [], [], 0
+    for words, weight in zip(batch["words" if written else "text"].to_pylist(), batch["weight"].to_pylist()):
+        ids = np.frombuffer(words, bench.kind) if written else bench.known(words_of(words))
+        for at in range(0, len(ids), STRETCH):
+            held.append(ids[at : at + STRETCH])
+            weights.append(weight)
+            size += len(held[-1])
+            if size >= STRETCH:
+                yield passages()
+                held, weights, size = [], [], 0
+    if held:
+        yield passages()
+
+
+def _add_pairs(pairs: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+    """Adds a a^T of each passage a, one of each two words' places; entries by passage."""
+    size = np.bincount(row)[row]
+    order = np.argsort(size, kind="stable")
+    term, value, size = term[order], value[order], size[order]
+    flat = pairs.reshape(-1)
+    for m in np.unique(size):
+        begin, end = np.searchsorted(size, [m, m + 1])
+        t, v = term[begin:end].reshape(-1, m).T.copy(), value[begin:end].reshape(-1, m).T.copy()
+        one, two = np.triu_indices(m)
+        np.add.at(flat, (t[one] * len(pairs) + t[two]).reshape(-1), (v[one] * v[two]).reshape(-1))
+
+
+def _add_products(total: np.ndarray, block: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+    """Adds a a^T block of each passage a; entries by passage."""
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    for k in range(0, len(starts), 256):
+        begin, end = starts[k], starts[k + 256] if k + 256 < len(starts) else len(row)
+        t, v, cut = term[begin:end], value[begin:end, None], starts[k : k + 256] - begin
+        met = np.add.reduceat(v * block[t], cut, axis=0)
+        out = np.repeat(met, np.diff(np.append(cut, end - begin)), axis=0) * v
+        order = np.argsort(t, kind="stable")
+        t = t[order]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        total[t[first]] += np.add.reduceat(out[order], first, axis=0)
+
+
 def _products(shipped, block: np.ndarray):
     """Each task's share of A^T A block, A the unit TF-IDF passages of its texts, in pieces of rows."""
 
     def step(batches):
         bench, total = shipped.value, np.zeros(block.shape)
+        often = np.argsort(bench.idf, kind="stable")[:PAIRED]
+        rank = np.full(bench.terms, -1)
+        rank[often] = np.arange(len(often))
+        pairs = np.zeros((len(often), len(often)))
         for batch in batches:
-            for text, weight in zip(batch["text"].to_pylist(), batch["weight"].to_pylist()):
-                ids = bench.known(words_of(text))
-                at = np.flatnonzero(ids >= 0)
-                if not len(at):
+            for ids, row, weight in _stretches(batch, bench):
+                known = ids >= 0
+                cell, times = np.unique(row[known] * bench.terms + ids[known], return_counts=True)
+                if not len(cell):
                     continue
-                term, row = ids[at], at // PASSAGE
-                row = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))
-                cell, times = np.unique(row * bench.terms + term, return_counts=True)
                 row, term = cell // bench.terms, cell % bench.terms
                 value = times * bench.idf[term]
-                cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                value = value / np.sqrt(np.add.reduceat(value**2, cut))[row]
-                out = np.add.reduceat(value[:, None] * block[term], cut, axis=0)[row] * value[:, None] * weight
-                order = np.argsort(term, kind="stable")
-                term, out = term[order], out[order]
-                first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                total[term[first]] += np.add.reduceat(out, first, axis=0)
+                value *= np.sqrt(weight / np.maximum(np.bincount(row, value**2, len(weight)), 1e-300))[row]
+                rare = (np.bincount(row, rank[term] < 0) > 0)[row]
+                if not rare.all():
+                    _add_pairs(pairs, row[~rare], rank[term[~rare]], value[~rare])
+                if rare.any():
+                    _add_products(total, block, row[rare], term[rare], value[rare])
+        total[often] += pairs @ block[often] + pairs.T @ block[often] - pairs.diagonal()[:, None] * block[often]
         rows = range(0, len(total), 64)
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([total[r : r + 64].reshape(-1) for r in rows], pa.list_(pa.float64()))], names=["piece", "part"])
 
@@ -253,7 +317,7 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _svd(some: DataFrame, shipped, terms: int, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors and values of the passages of some (text, weight), by randomised subspace iteration."""
+    """Right singular vectors and values of the passages of some (words or text, weight), by randomised subspace iteration."""
     few = some.coalesce(4 * some.sparkSession.sparkContext.defaultParallelism)
 
     def product(block: np.ndarray) -> np.ndarray:
@@ -279,26 +343,28 @@ def _search(own: DataFrame, items: DataFrame, rank: int) -> DataFrame:
     """_FOUND of own (doc_id, text) for one group of items (item, words)."""
     spark = own.sparkSession
     bench = Benchmark(sorted((r[0], r[1] or "") for r in items.collect()))
-    found = {r["term"]: r["n"] for r in arrow_pass(own.select("text"), _holding(sent(spark, bench)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    kind, numbers = "doc_id long, copy long, words binary", _as_numbers(sent(spark, bench))
+    read = materialize(arrow_pass(own.select("doc_id", "text", F.xxhash64("text").alias("copy")), numbers, kind), "words")
+    found = {r["term"]: r["n"] for r in arrow_pass(read.select("words"), _holding(bench.terms, bench.kind), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n = found.pop(-1, 0)
     bench.weigh(n, found)
     shipped = sent(spark, bench)
-    rate = math.ceil(1_000_000 * min(1.0, FIT_DOCS / max(1, n)))
-    some = own.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate).select("text").distinct().select("text", F.lit(0).alias("item"))
-    some = materialize(some.unionByName(items.select(F.col("words").alias("text"), F.lit(1).alias("item"))), "passages")
-    size = {r["item"]: r["size"] or 0 for r in some.groupBy("item").agg(F.sum(F.length("text")).alias("size")).collect()}
+    every = read.select("copy", "words").distinct().select("words", F.lit(0).alias("item"))
+    listed = arrow_pass(items.select(F.col("item").alias("doc_id"), F.col("words").alias("text"), F.lit(0).cast("long").alias("copy")), numbers, kind)
+    some = materialize(every.unionByName(listed.select("words", F.lit(1).alias("item"))), "passages")
+    size = {r["item"]: r["size"] or 0 for r in some.groupBy("item").agg(F.sum(F.length("words")).alias("size")).collect()}
     # the items weigh as much as the corpus's passages, else the space has no room for their rare words
     weight = F.when(F.col("item") == 1, F.lit(max(1.0, size.get(0, 0) / max(1, size.get(1, 0))))).otherwise(1.0)
-    bench.settle(*_svd(some.select("text", weight.alias("weight")), shipped, bench.terms, rank, SEED))
+    bench.settle(*_svd(some.select("words", weight.alias("weight")), shipped, bench.terms, rank, SEED))
     settled = sent(spark, bench)
 
     def search(batches):
         bench = settled.value
         for batch in batches:
             got = []
-            for text in batch["text"].to_pylist():
+            for words in batch["words"].to_pylist():
                 best: dict[int, float] = {}
-                for n, share in bench.leaks(words_of(text)).items():
+                for n, share in bench.leaks(np.frombuffer(words, bench.kind).astype(np.int64)).items():
                     best[bench.items[n][0]] = max(share, best.get(bench.items[n][0], 0.0))
                 got.append(sorted(best.items()))
             yield pa.RecordBatch.from_arrays(
@@ -307,7 +373,7 @@ def _search(own: DataFrame, items: DataFrame, rank: int) -> DataFrame:
                 names=["doc_id", "contaminated", "item_ids", "score", "item_scores"],
             )
 
-    return arrow_pass(own, search, _FOUND)
+    return arrow_pass(read.select("doc_id", "words"), search, _FOUND)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
