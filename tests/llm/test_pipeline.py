@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 from tidemark.llm import mixing
-from tidemark.llm.decontaminate import drop_leaks
+from tidemark.llm.decontaminate import Benchmark, drop_leaks
 from tidemark.llm.exact_dedup import drop_copies
 from tidemark.llm.near_dedup import drop_near
 from tidemark.llm.quality import keep_good
@@ -74,3 +74,17 @@ def test_stages_decide_by_row_where_ids_are_null_or_repeated(spark):
     more = [(None, text(90)), (None, docs[1][1]), (900, text(90)), (900, docs[3][1])]
     got = keep_good(spark.createDataFrame(docs + more, kind), spark.createDataFrame([(i, 1 - i % 2) for i, _ in docs], "doc_id long, quality int"))
     assert {r["text"] for r in got.collect() if r["doc_id"] in (None, 900)} == {more[0][1], more[2][1]}
+
+
+def test_the_leak_stage_learns_from_every_document_left(spark, tmp_path, monkeypatch):
+    """Words of one passage a text, so the squared values of the space add up to the passages: of all texts, and as much for the items."""
+    rnd = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(40)]
+    docs = [(i, " ".join(rnd.choices(vocabulary, k=20)), "en", "s", 0) for i in range(4000)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=20))) for i in range(10)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, settle = [], Benchmark.settle
+    monkeypatch.setattr(Benchmark, "settle", lambda self, basis, spread: (seen.append(spread), settle(self, basis, spread))[1])
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    assert corpus_pipeline.decontaminate(spark, spark.createDataFrame(docs, kind), str(tmp_path)).count() == 4000
+    assert abs((seen[0] ** 2).sum() - 2 * len({t for _, t, *_ in docs})) < 1e-6 * len(docs)
