@@ -1,7 +1,8 @@
 import random
+import zlib
 
 import corpus_pipeline
-from tidemark.llm import mixing
+from tidemark.llm import mixing, quality
 from tidemark.llm.decontaminate import Benchmark, drop_leaks
 from tidemark.llm.exact_dedup import drop_copies
 from tidemark.llm.near_dedup import drop_near
@@ -88,3 +89,22 @@ def test_the_leak_stage_learns_from_every_document_left(spark, tmp_path, monkeyp
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     assert corpus_pipeline.decontaminate(spark, spark.createDataFrame(docs, kind), str(tmp_path)).count() == 4000
     assert abs((seen[0] ** 2).sum() - 2 * len({t for _, t, *_ in docs})) < 1e-6 * len(docs)
+
+
+def test_the_quality_stage_learns_from_every_label(spark, tmp_path, monkeypatch):
+    """Weights and calibration count all labelled rows, and labels of any one fold of ids are enough to tell bad from good."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choices(["the", "an", "er", "st", "ou", "ti", "re", "ing"], k=rnd.randint(1, 3)))
+    text = lambda i: " ".join(word().upper() + "!!" if i % 3 == 0 else word() for _ in range(rnd.randint(30, 90)))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string")
+    calibrated, solved, isotonic, solve = [], [], quality.isotonic, quality.np.linalg.solve
+    monkeypatch.setattr(quality, "isotonic", lambda x, hits, n: (calibrated.append(sum(n)), isotonic(x, hits, n))[1])
+    monkeypatch.setattr(quality.np.linalg, "solve", lambda a, b: (solved.append(a[-1, -1]), solve(a, b))[1])
+    good = {i for i in range(300) if i % 3}
+    for n, folds in enumerate(({0, 1, 2, 3, 4}, {0}, {1}, {2, 3, 4})):
+        ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 in folds]
+        spark.createDataFrame([(i, int(i % 3 > 0)) for i in ids], "doc_id long, quality int").write.parquet(str(tmp_path / str(n) / "labels.parquet"))
+        kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path / str(n))).collect()}
+        assert len(kept ^ good) <= 6, (folds, kept ^ good)
+        assert calibrated[-1] == len(ids) and abs(max(solved) - len(ids) * (1 + quality.RIDGE)) < 1e-6
+        solved.clear()

@@ -2,8 +2,10 @@
 
 One pass over the texts takes STATISTICS from each and writes them; all that follows reads that small table. The random
 features approximate a Gaussian kernel. Each partition of the labelled rows sums its share of the normal equations, the
-shares are added row by row, and the driver solves a system whose size depends on the number of features alone. Scores
-of a fold kept apart are binned, and the pools of adjacent violators over the bins give calibrated probabilities.
+shares are added row by row, and the driver solves a system whose size depends on the number of features alone. The sums
+are kept by PARTS of the rows, so the same pass gives the weights of all rows and those without each part. Each row is
+scored by the weights without its own part, all these scores are binned, and the pools of adjacent violators over the
+bins give calibrated probabilities: every labelled row counts in the weights and in the calibration.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ FEATURES = 256
 WIDTH = 3.0
 RIDGE = 1e-3
 BINS = 1000
+PARTS = 5
 SEED = 20
 CUT = 0.3
 #: The statistics, in order.
@@ -101,26 +104,36 @@ def _stacked(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _normal_equations(model: Model):
+    """Each task's share of the normal equations: of each of their rows the sums by part, one behind the other."""
+
     def step(batches):
         size = len(model.weights)
-        total = np.zeros((size, size + 1))
+        total = np.zeros((size, PARTS, size + 1))
         for batch in batches:
-            z = model.features(_stacked(batch))
-            total[:, :size] += z.T @ z
-            total[:, size] += z.T @ batch["label"].to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "part"])
+            z, label, of = model.features(_stacked(batch)), batch["label"].to_numpy(zero_copy_only=False), batch["of"].to_numpy(zero_copy_only=False)
+            for k in range(PARTS):
+                own = z[of == k]
+                total[:, k, :size] += own.T @ own
+                total[:, k, size] += own.T @ label[of == k]
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(list(total.reshape(size, -1)), pa.list_(pa.float64()))], names=["row", "sums"])
 
     return step
 
 
 def _added(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"row": [group["row"].iloc[0]], "part": [np.sum(np.stack(group["part"].to_list()), axis=0)]})
+    return pd.DataFrame({"row": [group["row"].iloc[0]], "sums": [np.sum(np.stack(group["sums"].to_list()), axis=0)]})
+
+
+def _solved(sums: np.ndarray) -> np.ndarray:
+    size = len(sums)
+    return np.linalg.solve(sums[:, :size] + RIDGE * max(1.0, sums[-1, size - 1]) * np.eye(size), sums[:, size])
 
 
 def fit(stats: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     """stats: doc_id, stats. labels: doc_id, label; a doc_id labelled repeatedly counts once, with the mean. All labelled rows count."""
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.avg("label").alias("label"))
-    rows = materialize(stats.join(known, "doc_id").select("stats", "label", (fold("doc_id", 5) == 1).alias("apart")), "labelled")
+    of = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    rows = materialize(stats.join(known, "doc_id").select("stats", "label", of.alias("of")), "labelled")
     each = [f(F.get("stats", F.lit(i))).alias(f"{k}{i}") for i in range(len(STATISTICS)) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
     found = rows.agg(F.count(F.lit(1)).alias("n"), *each).first()
     if not found["n"]:
@@ -128,28 +141,31 @@ def fit(stats: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     model = Model([found[f"m{i}"] for i in range(len(STATISTICS))], [found[f"s{i}"] for i in range(len(STATISTICS))], seed=seed)
     spark = stats.sparkSession
     few = rows.coalesce(4 * spark.sparkContext.defaultParallelism)
-    parts = arrow_pass(few.where("not apart").select("stats", "label"), _normal_equations(model), "row int, part array<double>")
-    total = np.zeros((len(model.weights), len(model.weights) + 1))
-    for r in parts.groupBy("row").applyInPandas(_added, "row int, part array<double>").collect():
-        total[r["row"]] = r["part"]
+    shares = arrow_pass(few, _normal_equations(model), "row int, sums array<double>")
     size = len(model.weights)
-    model.weights = np.linalg.solve(total[:, :size] + RIDGE * max(1.0, total[-1, size - 1]) * np.eye(size), total[:, size])
+    total = np.zeros((size, PARTS, size + 1))
+    for r in shares.groupBy("row").applyInPandas(_added, "row int, sums array<double>").collect():
+        total[r["row"]] = np.reshape(r["sums"], (PARTS, size + 1))
+    whole = total.sum(axis=1)
+    model.weights = _solved(whole)
+    without = np.stack([_solved(whole - total[:, k]) for k in range(PARTS)], axis=1)
 
     def raw(batches):
         for batch in batches:
-            at = np.floor(np.clip(model.raw(_stacked(batch)), -0.5, 1.5) * BINS).astype(np.int32)
+            unseen = (model.features(_stacked(batch)) @ without)[np.arange(batch.num_rows), batch["of"].to_numpy(zero_copy_only=False)]
+            at = np.floor(np.clip(unseen, -0.5, 1.5) * BINS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch["label"]], names=["bin", "label"])
 
-    apart = arrow_pass(rows.where("apart").select("stats", "label"), raw, "bin int, label double")
-    bins = sorted(apart.groupBy("bin").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n")).collect())
-    if bins:
-        model.edges, model.levels = isotonic([(b["bin"] + 0.5) / BINS for b in bins], [b["hits"] for b in bins], [b["n"] for b in bins])
+    bins = sorted(arrow_pass(rows, raw, "bin int, label double").groupBy("bin").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n")).collect())
+    model.edges, model.levels = isotonic([(b["bin"] + 0.5) / BINS for b in bins], [b["hits"] for b in bins], [b["n"] for b in bins])
     return model
 
 
-def _scored(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str = "quality", cut: float = CUT, row: str | None = None) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str = "quality", cut: float = CUT, row: str | None = None, hold_out: bool = True) -> DataFrame:
     stats = materialize(arrow_pass(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(row) if row else F.lit(None)).cast("long").alias("row")), _statistics_pass, "row long, doc_id long, stats array<float>"), "stats")
-    seen = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where(fold("doc_id", 5) != 0)
+    seen = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
+    if hold_out:
+        seen = seen.where(fold("doc_id", 5) != 0)
     model = fit(stats, seen)
 
     def scored(batches):
@@ -171,6 +187,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose text is predicted good, all their columns, whatever ids rows have."""
+    """The rows of docs whose text is predicted good, all their columns, whatever ids rows have. All labels are learned from."""
     own, row = numbered(docs, "documents")
-    return kept_rows(own, row, _scored(own, labels, doc_id, text, row=row).where("predicted = 0"), keep=False)
+    return kept_rows(own, row, _scored(own, labels, doc_id, text, row=row, hold_out=False).where("predicted = 0"), keep=False)
