@@ -221,3 +221,35 @@ def test_regions_of_both_longitude_conventions_overlap(spark):
     cat = Catalog(regions, spark.createDataFrame(rows, "region string, layer string, row int, vals array<double>"))
     got = transform_points(spark.createDataFrame([(1, 200.5, 10.5, 5.0), (2, -159.5, 10.5, 5.0)], "pid long, x double, y double, z double"), cat, "ellipse", "geoid").collect()
     assert [(r["z"], r["region_index"]) for r in got] == [(3.0, 0)] * 2
+
+
+@pytest.mark.parametrize("interp", ["bilinear", "nearest"])
+def test_joins_do_not_grow_with_the_regions_over_a_place(spark, interp, monkeypatch):
+    """Seven regions across longitude 0, of two frames and two lattices, some void: as by a join for each of them."""
+    rnd, regions, rows = np.random.default_rng(4), [], []
+    for n in range(7):
+        grids = {}
+        for layer, spacing in (("geoid", 0.5), ("tss", 0.1), ("mllw", 0.1)):
+            lattice = Lattice(10 + 0.1 * n, (358.5 if n % 2 else -1.5) + 0.07 * n, spacing, spacing, round(3 / spacing) + 1, round(4 / spacing) + 1)
+            grids[layer], v = lattice, np.round(rnd.uniform(-5, 5, (lattice.rows, lattice.cols)), 2)
+            v[rnd.random(v.shape) < 0.04] = np.nan
+            rows += [(f"r{n}", layer, i, [None if np.isnan(x) else float(x) for x in v[i]]) for i in range(lattice.rows) if layer != "tss" or n or i % 9]
+        regions.append(Region(f"r{n}", "core\\xgeoid17b\\AK_17B.gtx" if n % 3 else "core\\geoid12b\\g2012bu0.gtx", grids))
+    p = plan(Catalog(tuple(regions), spark.createDataFrame(rows, "region string, layer string, row int, vals array<double>")), "ellipse", "mllw")
+    some = [(float(x), float(y)) for x, y in zip(rnd.uniform(-1.7, 3.2, 600), rnd.uniform(9.9, 13.8, 600))]
+    some += [(x, y) for x in (-1.5, -1e-17, 0.0, 360.0, 359.99999999999994, 0.8, 1.6, 2.92) for y in (10.0, 10.4, 11.2, 12.8, 13.6)] + [(None, 11.0), (float("nan"), 11.0), (1.0, 1e300)]
+    df = spark.createDataFrame(some, "x double, y double")
+    places = {"NAD83(2011)": (F.col("x"), F.col("y")), "ITRF2008": (F.col("x") + 1e-5, F.col("y") - 1e-5)}
+
+    def found(unrolled, small=lookup.BROADCAST_BYTES, **options):
+        monkeypatch.setattr(lookup, "MOST_UNROLLED", unrolled)
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", small)
+        return lookup.separations(df, p, interp, **options)
+
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    text = found(4)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("HashJoin") + text.count("MergeJoin") <= 3
+    want = rows_of(found(99))
+    assert want == rows_of(found(4)) == rows_of(found(4, small=0)) and len({r.partition("region=")[2][:4] for r in want}) == 8
+    back = {"order": lambda i: (-i,), "places": places}
+    assert rows_of(found(99, **back)) == rows_of(found(4, **back))

@@ -5,6 +5,10 @@ box meets it, in order of precedence; one join on the cell gives a point its few
 point follows from how the boxes overlap, which the driver knows. Each place of the list is looked up by a join on
 (region, grid row), and the first valid one counts: no row is multiplied and nothing is grouped again. The index and the
 grids are broadcast while they are below BROADCAST_BYTES; beyond, the same equi-joins shuffle.
+
+Where more regions than MOST_UNROLLED share a point, a join for each place would cost every point all of them, so finer
+cells list, for each region, the part of its grids that a point of the cell needs: one join, and the first valid region
+of the list counts.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import bilinear, nearest, wrap
-from ..plans.transform import TransformPlan, cells_of, lattice_groups, most_overlap
+from ..plans.transform import TransformPlan, cells_of, fine_cells, lattice_groups, most_overlap
 
 BROADCAST_BYTES = 64 << 20
-#: After this many places what they found is merged, so that rows and generated code stay narrow where many regions overlap.
+#: Up to this many places each get a join; where more regions overlap, all are looked up by one join on a cell.
 MOST_UNROLLED = 4
 #: Degrees that a place may differ by from frame to frame (some metres).
 FRAME_SHIFT = 1e-4
 _LATTICE = "struct<lat:double,lon:double,dlat:double,dlon:double,rows:int,cols:int>"
+_REGION = f"region:string,ord:int,x0:double,y0:double,width:double,y1:double,f:int,g:array<{_LATTICE}>"
 
 
 def private(columns: list[str]) -> str:
@@ -53,21 +58,46 @@ def _bands(plan: TransformPlan, layers: list[str], interp: str) -> DataFrame:
 Places = dict[str, tuple[Column, Column]]
 
 
-def candidates(points: DataFrame, plan: TransformPlan, prefix: str, order: Callable[[int], tuple], frames: list[str]) -> tuple[DataFrame, int]:
-    """points with an array prefix + held of the regions whose grids hold the point, best by order first; and its largest length.
+def _pad(frames: list[str]) -> float:
+    return 1e-9 if len(frames) == 1 else FRAME_SHIFT
 
-    points have prefix + p, an array of the place (x, y) in each of frames; a region looks in the frame of its geoid.
-    """
+
+def _described(plan: TransformPlan, order: Callable[[int], tuple], frames: list[str]) -> tuple[list[dict], list[tuple[float, float, float, float]]]:
+    """What a lookup needs to know of each region, best by order first, and the boxes of their grids."""
     ranked = sorted(plan.regions, key=lambda ir: order(ir[0]), reverse=True)
-    boxes = [_box(r, plan.layers) for _, r in ranked]
-    groups = lattice_groups(plan)
-    step, cells = cells_of(boxes, pad=1e-9 if len(frames) == 1 else FRAME_SHIFT)
-    regions = []
+    boxes, groups, regions = [_box(r, plan.layers) for _, r in ranked], lattice_groups(plan), []
     for (i, r), (x0, y0, x1, y1) in zip(ranked, boxes):
         lattices = [r.grids[layers[0]] for layers in groups]
         regions.append({"region": r.name, "ord": i, "x0": x0, "y0": y0, "width": x1 - x0, "y1": y1, "f": _frame(r, frames), "g": [{"lat": a.lat0, "lon": a.lon0, "dlat": a.dlat, "dlon": a.dlon, "rows": a.rows, "cols": a.cols} for a in lattices]})
+    return regions, boxes
+
+
+def _holds(c: Column, prefix: str) -> Column:
+    """Whether the grids of region c hold the point."""
+    p = F.get(f"{prefix}p", c["f"])
+    return (p["y"] >= c["y0"]) & (p["y"] <= c["y1"]) & (wrap(p["x"] - c["x0"]) <= c["width"])
+
+
+def _place(c: Column, g: int, prefix: str, interp: str) -> Column:
+    """Row i and column j of the point in group g of region c's grids, and the shares t and u of the next ones."""
+    p, here = F.get(c["g"], F.lit(g)), F.get(f"{prefix}p", c["f"])
+    fi, fj = (here["y"] - p["lat"]) / p["dlat"], wrap(here["x"] - p["lon"]) / p["dlon"]
+    if interp == "bilinear":
+        i, j = F.least(F.floor(fi), p["rows"] - 2), F.least(F.floor(fj), p["cols"] - 2)
+    else:
+        i, j = F.floor(fi + 0.5), F.floor(fj + 0.5)
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), (fi - i).alias("t"), (fj - j).alias("u"))
+
+
+def candidates(points: DataFrame, plan: TransformPlan, prefix: str, order: Callable[[int], tuple], frames: list[str]) -> DataFrame:
+    """points with an array prefix + held of the regions whose grids hold the point, best by order first.
+
+    points have prefix + p, an array of the place (x, y) in each of frames; a region looks in the frame of its geoid.
+    """
+    regions, boxes = _described(plan, order, frames)
+    step, cells = cells_of(boxes, pad=_pad(frames))
     listed = [{"cx": cx, "cy": cy, "all": [regions[k] for k in held]} for (cx, cy), held in sorted(cells.items())]
-    kind = f"array<struct<cx:int,cy:int,all:array<struct<region:string,ord:int,x0:double,y0:double,width:double,y1:double,f:int,g:array<{_LATTICE}>>>>>"
+    kind = f"array<struct<cx:int,cy:int,all:array<struct<{_REGION}>>>>"
     text = json.dumps(listed)
     index = points.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), kind))).toDF(*[prefix + c for c in ("cx", "cy", "all")])
     cell = lambda v: F.floor(v / F.lit(step)).try_cast("int")
@@ -75,12 +105,100 @@ def candidates(points: DataFrame, plan: TransformPlan, prefix: str, order: Calla
     at = points.withColumns({f"{prefix}x": cell(wrap(first["x"])), f"{prefix}y": cell(first["y"])})
     small = F.broadcast if len(text) <= BROADCAST_BYTES else (lambda t: t)
     found = at.join(small(index), (F.col(f"{prefix}x") == F.col(f"{prefix}cx")) & (F.col(f"{prefix}y") == F.col(f"{prefix}cy")), "left")
+    return found.select(*_own(points), F.filter(f"{prefix}all", lambda c: _holds(c, prefix)).alias(f"{prefix}held"))
 
-    def holds(c: Column) -> Column:
-        p = F.get(f"{prefix}p", c["f"])
-        return (p["y"] >= c["y0"]) & (p["y"] <= c["y1"]) & (wrap(p["x"] - c["x0"]) <= c["width"])
 
-    return found.select(*_own(points), F.filter(f"{prefix}all", holds).alias(f"{prefix}held")), most_overlap(boxes, 1e-9 if len(frames) == 1 else FRAME_SHIFT)
+def _windows(plan: TransformPlan, regions: list[dict], boxes: list[tuple[float, float, float, float]], interp: str, pad: float) -> tuple[DataFrame, int, bool]:
+    """cx, cy and an array of the regions whose box meets the cell, in their order, with the part of each grid that a point
+    of the cell needs; how many cells there are around; and whether all that is small enough to be broadcast.
+
+    A part w has one entry for each layer: its first row i0 and column j0, and the rows.
+    """
+    groups, layers = lattice_groups(plan), list(dict.fromkeys(plan.layers))
+    around, spans = fine_cells(boxes, min(min(a["dlat"], a["dlon"]) for r in regions for a in r["g"]), pad=pad)
+    step, listed, size = 360 / around, [], 0
+    for k, (r, (c0, c1, r0, r1)) in enumerate(zip(regions, spans)):
+        east = [(r["x0"] - a["lon"]) % 360 for a in r["g"]]  # degrees from the lattice's first column to the box
+        listed.append(r | {"k": k, "start": r["x0"] % 360, "east": east, "c0": c0, "c1": c1, "r0": r0, "r1": r1})
+        nodes = sum(min(a["rows"], step / a["dlat"] + 5) * min(a["cols"], step / a["dlon"] + 5) * len(g) for a, g in zip(r["g"], groups))
+        size += int(8 * nodes * (c1 - c0 + 1) * (r1 - r0 + 1))
+    small = F.broadcast if size <= BROADCAST_BYTES else (lambda t: t)
+    spark = plan.catalog.grid_rows.sparkSession
+    kind = f"array<struct<k:int,start:double,east:array<double>,c0:int,c1:int,r0:int,r1:int,{_REGION}>>"
+    known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), kind)))
+    cells = known.withColumn("c", F.explode(F.sequence("c0", "c1"))).withColumn("cy", F.explode(F.sequence("r0", "r1")))
+    of_layer = [F.struct(F.lit(n).alias("n"), F.lit(layer).alias("layer"), F.lit(next(k for k, g in enumerate(groups) if layer in g)).alias("at")) for n, layer in enumerate(layers)]
+    a, w, c, cy = F.get("g", F.col("l.at")), F.get("east", F.col("l.at")) - F.col("start"), F.col("c"), F.col("cy")
+    clip = lambda v, n: F.greatest(F.lit(0), F.least(v, n - 1)).cast("int")
+    first = lambda v, n: clip(F.floor(v) - 1, n)
+    last = lambda v, n: clip(F.floor(v) + 2, n)
+    parts = cells.withColumn("l", F.explode(F.array(*of_layer))).select(
+        "k", "c", "cy", "l.n", "l.layer", "region",
+        first((cy * step - a["lat"] - pad) / a["dlat"], a["rows"]).alias("i0"), last(((cy + 1) * step - a["lat"] + pad) / a["dlat"], a["rows"]).alias("i1"),
+        first((c * step + w - pad) / a["dlon"], a["cols"]).alias("j0"), last(((c + 1) * step + w + pad) / a["dlon"], a["cols"]).alias("j1"),
+    ).withColumn("row", F.explode(F.sequence("i0", F.greatest("i0", "i1"))))
+    rows = plan.catalog.grid_rows.where(F.col("region").isin([r["region"] for r in regions]) & F.col("layer").isin(layers))
+    rows = rows.groupBy("region", "layer", "row").agg(F.max("vals").alias("vals"))
+    taken = parts.join(small(rows), ["region", "layer", "row"], "left").select("k", "c", "cy", "n", "i0", "j0", "row", F.slice("vals", F.col("j0") + 1, F.greatest(F.lit(0), F.col("j1") - F.col("j0") + 1)).alias("vals"))
+    whole = taken.groupBy("k", "c", "cy", "n", "i0", "j0").agg(F.sort_array(F.collect_list(F.struct("row", "vals")))["vals"].alias("rows"))
+    one = whole.groupBy("k", "c", "cy").agg(F.sort_array(F.collect_list(F.struct("n", "i0", "j0", "rows"))).alias("w"))
+    full = one.join(F.broadcast(known), "k").select(F.pmod("c", F.lit(around)).alias("cx"), "cy", F.struct("k", "region", "ord", "x0", "y0", "width", "y1", "f", "g", "w").alias("one"))
+    return full.groupBy("cx", "cy").agg(F.sort_array(F.collect_list("one")).alias("all")), around, size <= BROADCAST_BYTES
+
+
+def _first_valid(points: DataFrame, plan: TransformPlan, prefix: str, order: Callable[[int], tuple], frames: list[str], interp: str) -> tuple[DataFrame, Column]:
+    """points, and the struct of ord, region and values of the first region, best by order, that holds a point and has all its nodes.
+
+    Which it is takes functions over the cell's list, that look no further once one is found; its values are computed after.
+    """
+    regions, boxes = _described(plan, order, frames)
+    index, around, small = _windows(plan, regions, boxes, interp, _pad(frames))
+    index = index.toDF(*[prefix + c for c in ("cx", "cy", "all")])
+    first = F.get(f"{prefix}p", F.lit(0))
+    cell = lambda v: F.floor(v / F.lit(360 / around)).try_cast("int")
+    at = points.withColumns({f"{prefix}x": F.pmod(cell(wrap(first["x"])), F.lit(around)), f"{prefix}y": cell(first["y"])})
+    df = at.join(F.broadcast(index) if small else index, (F.col(f"{prefix}x") == F.col(f"{prefix}cx")) & (F.col(f"{prefix}y") == F.col(f"{prefix}cy")), "left")
+    groups, layers = lattice_groups(plan), list(dict.fromkeys(plan.layers))
+    bound = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))  # noqa: E731  # f of v, which is computed once
+
+    sides = ("lo", "hi") if interp == "bilinear" else ("lo",)
+    of_group = {layer: f"g{g}" for g, mine in enumerate(groups) for layer in mine}
+
+    def taken(c: Column) -> Column:
+        """Where the point is in c's grids, and the rows of nodes about it, if all nodes it needs have data."""
+
+        def rows(at: Column) -> Column:
+            parts = []
+            for n, layer in enumerate(layers):
+                w, p = F.get(c["w"], F.lit(n)), at[of_group[layer]]
+                nodes = [F.get(w["rows"], p["i"] - w["i0"] + k).alias(side) for k, side in enumerate(sides)]
+                parts.append(F.struct((p["j"] - w["j0"]).alias("j"), p["t"].alias("t"), p["u"].alias("u"), *nodes).alias(f"l{n}"))
+            return F.struct(c["ord"].alias("ord"), c["region"].alias("region"), *parts)
+
+        def whole(r: Column) -> Column:
+            ok = F.lit(True)
+            for n in range(len(layers)):
+                for side in sides:
+                    for k in range(len(sides)):
+                        ok = ok & F.get(r[f"l{n}"][side], r[f"l{n}"]["j"] + k).isNotNull()
+            return F.when(ok, r)
+
+        places = F.struct(*[_place(c, g, prefix, interp).alias(f"g{g}") for g in range(len(groups))])
+        return bound(bound(places, rows), whole)
+
+    part = f"struct<j:int,t:double,u:double,{','.join(f'{side}:array<double>' for side in sides)}>"
+    kind = f"struct<ord:int,region:string,{','.join(f'l{n}:{part}' for n in range(len(layers)))}>"
+    best = F.aggregate(f"{prefix}all", F.lit(None).cast(kind), lambda best, c: F.coalesce(best, F.when(_holds(c, prefix), taken(c))))
+    df, r = df.select(*_own(points), best.alias(f"{prefix}best")), F.col(f"{prefix}best")
+    value = lambda p: bilinear(p["lo"], p["hi"], p["j"], p["u"], p["t"]) if interp == "bilinear" else nearest(p["lo"], p["j"])
+    return df, F.when(r.isNotNull(), F.struct(r["ord"].alias("ord"), r["region"].alias("region"), *[value(r[f"l{n}"]).alias(layer) for n, layer in enumerate(layers)]))
+
+
+def _valid(found: Column, layers: list[str]) -> Column:
+    ok = F.lit(True)
+    for layer in layers:
+        ok = ok & found[layer].isNotNull()
+    return F.when(ok, found)
 
 
 def _frame(region, frames: list[str]) -> int:
@@ -104,7 +222,12 @@ def separations(
     places = places or {"": (F.col("x"), F.col("y"))}
     prefix = private([*points.columns, out])
     here = points.withColumn(f"{prefix}p", F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in places.values()]))
-    df, most = candidates(here, plan, prefix, order or (lambda i: (i,)), list(places))
+    order, frames, mine = order or (lambda i: (i,)), list(places), _own(points)
+    most = 0 if each else most_overlap([_box(r, plan.layers) for _, r in plan.regions], _pad(frames))
+    if most > MOST_UNROLLED:
+        df, found = _first_valid(here, plan, prefix, order, frames, interp)
+        return df.select(*mine, found.alias(out))
+    df = candidates(here, plan, prefix, order, frames)
     groups = lattice_groups(plan)
     size = sum(r.grids[layer].node_bytes() for _, r in plan.regions for layer in set(plan.layers)) * 2
     small = F.broadcast if size <= BROADCAST_BYTES else (lambda t: t)
@@ -117,15 +240,8 @@ def separations(
     def looked_up(df: DataFrame, candidate: Column, keep: list[Column]) -> tuple[DataFrame, Column]:
         """df with columns for what candidate is in each group of grids, and the struct of its values."""
         df = df.select(*own, *keep, candidate.alias(f"{prefix}c"))
-        c, values, cells = F.col(f"{prefix}c"), {}, []
-        for g in range(len(groups)):
-            p, here = F.get(c["g"], F.lit(g)), F.get(f"{prefix}p", c["f"])
-            fi, fj = (here["y"] - p["lat"]) / p["dlat"], wrap(here["x"] - p["lon"]) / p["dlon"]
-            if interp == "bilinear":
-                i, j = F.least(F.floor(fi), p["rows"] - 2), F.least(F.floor(fj), p["cols"] - 2)
-            else:
-                i, j = F.floor(fi + 0.5), F.floor(fj + 0.5)
-            cells.append(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), (fi - i).alias("t"), (fj - j).alias("u")).alias(f"{prefix}at{g}"))
+        c, values = F.col(f"{prefix}c"), {}
+        cells = [_place(c, g, prefix, interp).alias(f"{prefix}at{g}") for g in range(len(groups))]
         df = df.select(*own, *keep, f"{prefix}c", *cells)
         for g, layers in enumerate(groups):
             at = F.col(f"{prefix}at{g}")
@@ -138,30 +254,17 @@ def separations(
         names = {layer: F.col(f"{prefix}v{g}")[layer] for g, layers in enumerate(groups) for layer in layers}
         return df, F.struct(c["ord"].alias("ord"), c["region"].alias("region"), *[names[layer].alias(layer) for layer in dict.fromkeys(plan.layers)])
 
-    def valid(found: Column) -> Column:
-        ok = F.lit(True)
-        for layer in dict.fromkeys(plan.layers):
-            ok = ok & found[layer].isNotNull()
-        return F.when(ok, found)
-
-    mine = _own(points)
     if each:
         df = df.withColumn(f"{prefix}one", F.explode_outer(f"{prefix}held"))
         df, found = looked_up(df, F.col(f"{prefix}one"), [])
         return df.select(*mine, found.alias(out))
     best: list[Column] = []
-    for begin in range(0, most, MOST_UNROLLED):
-        for k in range(min(MOST_UNROLLED, most - begin)):
-            keep = [F.col(f"{prefix}held"), *best]
-            df, found = looked_up(df, F.get(f"{prefix}held", F.lit(k)), keep)
-            df = df.select(*own, *keep, valid(found).alias(f"{prefix}b{k}"))
-            best.append(F.col(f"{prefix}b{k}"))
-        merged = F.coalesce(*best) if len(best) > 1 else best[0]
-        if begin + MOST_UNROLLED < most:  # go on with the places that are left; the filter also ends a stage of generated code
-            left = F.filter(f"{prefix}held", lambda c, i: i >= MOST_UNROLLED)
-            df = df.select(*own, left.alias(f"{prefix}held"), merged.alias(f"{prefix}best"))
-            best = [F.col(f"{prefix}best")]
-    return df.select(*mine, (merged if most else F.lit(None)).alias(out))
+    for k in range(most):
+        keep = [F.col(f"{prefix}held"), *best]
+        df, found = looked_up(df, F.get(f"{prefix}held", F.lit(k)), keep)
+        df = df.select(*own, *keep, _valid(found, list(dict.fromkeys(plan.layers))).alias(f"{prefix}b{k}"))
+        best.append(F.col(f"{prefix}b{k}"))
+    return df.select(*mine, (F.coalesce(*best) if best else F.lit(None)).alias(out))
 
 
 def shifted(z: Column, plan: TransformPlan, found: str = "found") -> Column:

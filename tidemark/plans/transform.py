@@ -116,3 +116,20 @@ def cells_of(boxes: list[tuple[float, float, float, float]], most: int = 20_000,
         else:
             return step, out
     return step, out
+
+
+def fine_cells(boxes: list[tuple[float, float, float, float]], spacing: float, most: int = 20_000, pad: float = 1e-9) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """How many square cells there are around, and for each box the first and last column and row of cells that it meets.
+
+    Sides start at eight times spacing and double until the boxes meet most cells or fewer in all. Columns count from
+    longitude 0 to the east, modulo the cells around.
+    """
+    around = max(4, math.floor(360 / (8 * spacing)))
+    while True:
+        step, spans = 360 / around, []
+        for x0, y0, x1, y1 in boxes:
+            start = x0 % 360
+            spans.append((math.floor((start - pad) / step), math.floor((start + x1 - x0 + pad) / step), math.floor((y0 - pad) / step), math.floor((y1 + pad) / step)))
+        if around == 4 or sum((c1 - c0 + 1) * (r1 - r0 + 1) for c0, c1, r0, r1 in spans) <= most:
+            return around, spans
+        around = max(4, around // 2)
